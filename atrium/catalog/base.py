@@ -175,3 +175,46 @@ def query(key: str, sql: str | None = None):
         return fn
 
     return wrap
+
+
+def slab_sql(src: str, along: str, keys: str = "plan_id") -> str:
+    lo, hi, u0, u1 = ("x0", "x1", "y0", "y1") if along == "x" else ("y0", "y1", "x0", "x1")
+    ks = keys.split(", ")
+    on = " AND ".join(f"s.{k} = l.{k}" for k in ks)
+    return f"""SELECT {keys}, a AS {lo}, b AS {hi}, min({u0}) AS {u0}, max({u1}) AS {u1} FROM (
+    SELECT *, sum(CASE WHEN prev IS NULL OR {u0} > prev THEN 1 ELSE 0 END) OVER (
+        PARTITION BY {keys}, a ORDER BY {u0}, {u1} ROWS UNBOUNDED PRECEDING) AS isl FROM (
+      SELECT {", ".join("s." + k for k in ks)}, a, b, {u0}, {u1}, max({u1}) OVER (PARTITION BY {", ".join("s." + k for k in ks)}, a ORDER BY {u0}, {u1}
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+      FROM (SELECT DISTINCT {keys}, x0, y0, x1, y1 FROM {src}) s JOIN (SELECT {keys}, v AS a, lead(v) OVER (PARTITION BY {keys} ORDER BY v) AS b FROM (
+          SELECT {keys}, {lo} AS v FROM {src} UNION SELECT {keys}, {hi} FROM {src})) l
+        ON {on} AND l.b IS NOT NULL AND s.{lo} <= l.a AND s.{hi} >= l.b)) GROUP BY {keys}, a, b, isl"""
+
+
+def comp_sql(nodes: str, e: str) -> str:
+    return _COMP.format(e=e).replace("FROM rooms n", f"FROM {nodes} n")
+
+
+CTE["grown_rooms"] = "SELECT DISTINCT plan_id, x0 - 30 AS x0, y0 - 30 AS y0, x1 + 30 AS x1, y1 + 30 AS y1 FROM rooms"
+CTE["grown_rows"] = "SELECT plan_id, x0 + 30 AS x0, x1 - 30 AS x1, y0, y1 FROM (" + slab_sql("grown_rooms", "y") + ") WHERE x1 - x0 > 60"
+CTE["closed_plan"] = "SELECT plan_id, x0, x1, y0 + 30 AS y0, y1 - 30 AS y1 FROM (" + slab_sql("grown_rows", "x") + ") WHERE y1 - y0 > 60"
+CTE["closed_pieces"] = "SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY x0, y0) - 1 AS idx FROM closed_plan"
+CTE["closed_links"] = """SELECT a.plan_id, a.idx AS i, b.idx AS j FROM closed_pieces a JOIN closed_pieces b
+  ON a.plan_id = b.plan_id AND a.x1 = b.x0 AND least(a.y1, b.y1) > greatest(a.y0, b.y0)"""
+CTE["closed_comp"] = comp_sql("closed_pieces", "closed_links")
+CTE["gap_pieces"] = """SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY x0, y0) - 1 AS idx FROM (
+  WITH d AS (SELECT *, lead(y0) OVER w AS nxt, lag(y1) OVER w AS prv FROM closed_plan WINDOW w AS (PARTITION BY plan_id, x0 ORDER BY y0)),
+  g AS (SELECT plan_id, x0, x1, y1 AS y0, coalesce(nxt, 1000000000) AS y1, nxt IS NULL AS o FROM d
+        UNION ALL SELECT plan_id, x0, x1, -1000000000, y0, true FROM d WHERE prv IS NULL)
+  SELECT g.plan_id, g.x0, g.x1, g.y0, g.y1, g.o OR NOT EXISTS (FROM closed_plan c WHERE c.plan_id = g.plan_id AND c.x0 = g.x1)
+      OR NOT EXISTS (FROM closed_plan c WHERE c.plan_id = g.plan_id AND c.x1 = g.x0) AS o
+  FROM g WHERE g.plan_id IN (SELECT plan_id FROM g WHERE NOT o))"""
+CTE["gap_links"] = """SELECT a.plan_id, a.idx AS i, b.idx AS j FROM gap_pieces a JOIN gap_pieces b
+  ON a.plan_id = b.plan_id AND a.x1 = b.x0 AND least(a.y1, b.y1) > greatest(a.y0, b.y0)"""
+CTE["gap_comp"] = comp_sql("gap_pieces", "gap_links")
+CTE["hole_parts"] = """SELECT p.* FROM gap_pieces p JOIN gap_comp c ON p.plan_id = c.plan_id AND p.idx = c.idx
+  WHERE NOT EXISTS (FROM gap_pieces q JOIN gap_comp d ON q.plan_id = d.plan_id AND q.idx = d.idx
+                    WHERE q.o AND d.plan_id = c.plan_id AND d.comp = c.comp)"""
+CTE["plan_holes"] = """SELECT c.plan_id, c.closed_cm2, coalesce(h.hole_cm2, 0) AS hole_cm2 FROM
+    (SELECT plan_id, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS closed_cm2 FROM closed_plan GROUP BY plan_id) c LEFT JOIN
+    (SELECT plan_id, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS hole_cm2 FROM hole_parts GROUP BY plan_id) h ON c.plan_id = h.plan_id"""

@@ -97,7 +97,7 @@ class Tables:
     @cached_property
     def gen_rooms(self) -> DataFrame:
         t = F.when(F.col("pk") % 13 == 0, (F.col("type_id") + 1) % 15).otherwise(F.col("type_id")).cast("int")
-        return self.rooms.filter("pk % 11 <> 0").withColumn("type_id", t).withColumn("type", type_name(t))
+        return self.rooms.filter("pk % 11 <> 0").withColumns({"type_id": t, "type": type_name(t)})
 
     @cached_property
     def gen_ids(self) -> DataFrame:

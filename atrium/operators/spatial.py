@@ -92,54 +92,71 @@ def door_edges(doors: DataFrame, rooms: DataFrame, tol: int = 30, large: DataFra
     return two.filter("n = 2").select("plan_id", "k", "i", "j")
 
 
-def union_area(rects: DataFrame, keys: list[str], large: DataFrame | None = None, name: str = "union_area") -> DataFrame:
-    """Area of the union of boxes per group: slabs between x cuts, running maximum of y inside a slab.
+def clip_tiles(rects: DataFrame, large: DataFrame | None, halo: int = 0) -> DataFrame:
+    """Boxes with tile columns; boxes of large plans are cut to each tile they touch, grown by ``halo``."""
+    t = with_tiles(rects, large, halo)
+    if large is None:
+        return t.drop("__big")
+    for lo, hi, tile in (("x0", "x1", "tx"), ("y0", "y1", "ty")):
+        base = F.col(tile).cast("long") * TILE
+        t = t.withColumn(lo, F.when(F.col("__big"), F.greatest(F.col(lo), base - halo)).otherwise(F.col(lo)))
+        t = t.withColumn(hi, F.when(F.col("__big"), F.least(F.col(hi), base + TILE + halo)).otherwise(F.col(hi)))
+    return t.filter("x1 > x0 AND y1 > y0")
 
-    One shuffle by (group, tile); cuts, slabs and windows reuse that partitioning. Tile sums add up exactly.
-    """
-    t = with_tiles(rects, large)
-    if large is not None:
-        for lo, hi, tile in (("x0", "x1", "tx"), ("y0", "y1", "ty")):
-            base = F.col(tile).cast("long") * TILE
-            t = t.withColumn(lo, F.when(F.col("__big"), F.greatest(F.col(lo), base)).otherwise(F.col(lo)))
-            t = t.withColumn(hi, F.when(F.col("__big"), F.least(F.col(hi), base + TILE)).otherwise(F.col(hi)))
-        t = t.filter("x1 > x0 AND y1 > y0")
-    k = [*keys, "tx", "ty"]
-    t = t.select(*k, *BOX).repartition(*k).distinct()
-    cuts = t.select(*k, F.explode(F.array("x0", "x1")).alias("a")).distinct()
-    slabs = cuts.withColumn("b", F.lead("a").over(W.partitionBy(*k).orderBy("a"))).filter("b IS NOT NULL")
-    s = t.join(slabs, k).filter("x0 <= a AND x1 >= b")
-    prev = F.max("y1").over(W.partitionBy(*k, "a").orderBy("y0", "y1").rowsBetween(W.unboundedPreceding, -1))
-    s = s.withColumn("__add", F.greatest(F.lit(0), F.col("y1") - F.greatest("y0", F.coalesce(prev, F.col("y0")))))
-    return s.groupBy(*keys).agg(F.sum((F.col("b") - F.col("a")) * F.col("__add")).alias(name))
+
+def union_area(rects: DataFrame, keys: list[str], large: DataFrame | None = None, name: str = "union_area") -> DataFrame:
+    """Area of the union of boxes per group. Tile sums of large plans add up exactly."""
+    if large is None:
+        runs = slab_runs(rects, keys, "x")
+    else:
+        runs = slab_runs(clip_tiles(rects, large), [*keys, "tx", "ty"], "x")
+    return runs.groupBy(*keys).agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias(name))
 
 
 def slab_runs(rects: DataFrame, keys: list[str], along: str) -> DataFrame:
-    """Disjoint boxes covering the same area: slabs across ``along`` cuts, touching intervals merged in a slab."""
-    if along == "x":
-        lo, hi, u0, u1 = "x0", "x1", "y0", "y1"
-    else:
-        lo, hi, u0, u1 = "y0", "y1", "x0", "x1"
-    t = rects.select(*keys, *BOX).repartition(*keys).distinct()
-    cuts = t.select(*keys, F.explode(F.array(lo, hi)).alias("__a")).distinct()
-    slabs = cuts.withColumn("__b", F.lead("__a").over(W.partitionBy(*keys).orderBy("__a"))).filter("__b IS NOT NULL")
-    s = t.join(slabs, keys).filter((F.col(lo) <= F.col("__a")) & (F.col(hi) >= F.col("__b")))
+    """Disjoint boxes covering the same area: slabs across ``along`` cuts, touching intervals merged in a slab.
+
+    One shuffle by the group: its distinct boxes and cut positions travel together (a group is a plan, or a tile of
+    a large plan), each box is spread over the slabs it spans, and the merge windows reuse that partitioning.
+    """
+    lo, hi, u0, u1 = ("x0", "x1", "y0", "y1") if along == "x" else ("y0", "y1", "x0", "x1")
+    g = rects.groupBy(*keys).agg(F.collect_set(F.struct(*BOX)).alias("__rs"))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.transform("__rs", lambda r: r[lo]), F.transform("__rs", lambda r: r[hi]))))
+    g = g.withColumn("__cuts", cuts)
+    n = F.greatest(F.size("__cuts") - 1, F.lit(0))
+    g = g.withColumn("__slabs", F.zip_with(F.slice("__cuts", 1, n), F.slice("__cuts", 2, n),
+                                           lambda a, b: F.struct(a.alias("__a"), b.alias("__b")))).drop("__cuts")
+    s = g.select(*keys, "__slabs", F.explode("__rs").alias("__r"))
+    s = s.select(*keys, F.col(f"__r.{lo}").alias("__lo"), F.col(f"__r.{u0}").alias(u0), F.col(f"__r.{u1}").alias(u1),
+                 F.inline(F.filter("__slabs", lambda c: (c["__a"] >= F.col(f"__r.{lo}")) & (c["__b"] <= F.col(f"__r.{hi}")))))
     w = W.partitionBy(*keys, "__a").orderBy(u0, u1)
     prev = F.max(u1).over(w.rowsBetween(W.unboundedPreceding, -1))
     s = s.withColumn("__new", F.when(prev.isNull() | (F.col(u0) > prev), 1).otherwise(0))
     s = s.withColumn("__isl", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    g = s.groupBy(*keys, "__a", "__b", "__isl").agg(F.min(u0).alias("__u0"), F.max(u1).alias("__u1"))
+    r = s.groupBy(*keys, "__a", "__b", "__isl").agg(F.min(u0).alias("__u0"), F.max(u1).alias("__u1"))
     m = {lo: "__a", hi: "__b", u0: "__u0", u1: "__u1"}
-    return g.select(*keys, *[F.col(m[c]).alias(c) for c in BOX])
+    return r.select(*keys, *[F.col(m[c]).alias(c) for c in BOX])
 
 
-def closing(rects: DataFrame, keys: list[str], r: int) -> DataFrame:
+def closing(rects: DataFrame, keys: list[str], r: int, large: DataFrame | None = None) -> DataFrame:
     """Mitre closing of a rectilinear union: grow, merge rows and shrink them, merge columns and shrink them.
 
     A square structuring element is separable, so the erosion is one pass per axis. Result: disjoint column boxes.
+    A point depends on boxes at most 2 r away, so tiles of large plans close on their own with a halo of 2 r.
     """
-    g = rects.select(*keys, (F.col("x0") - r).alias("x0"), (F.col("y0") - r).alias("y0"),
+    k = keys
+    if large is not None:
+        rects, k = clip_tiles(rects, large, 2 * r), [*keys, "tx", "ty"]
+    g = rects.select(*k, (F.col("x0") - r).alias("x0"), (F.col("y0") - r).alias("y0"),
                      (F.col("x1") + r).alias("x1"), (F.col("y1") + r).alias("y1"))
-    rows = slab_runs(g, keys, "y").withColumn("x0", F.col("x0") + r).withColumn("x1", F.col("x1") - r).filter("x1 > x0")
-    cols = slab_runs(rows, keys, "x")
-    return cols.withColumn("y0", F.col("y0") + r).withColumn("y1", F.col("y1") - r).filter("y1 > y0")
+    rows = slab_runs(g, k, "y").withColumn("x0", F.col("x0") + r).withColumn("x1", F.col("x1") - r).filter("x1 > x0")
+    cols = slab_runs(rows, k, "x")
+    out = cols.withColumn("y0", F.col("y0") + r).withColumn("y1", F.col("y1") - r).filter("y1 > y0")
+    if large is None:
+        return out
+    out = _flag_large(out, large)
+    for lo, hi, tile in (("x0", "x1", "tx"), ("y0", "y1", "ty")):
+        base = F.col(tile).cast("long") * TILE
+        out = out.withColumn(lo, F.when(F.col("__big"), F.greatest(F.col(lo), base)).otherwise(F.col(lo)))
+        out = out.withColumn(hi, F.when(F.col("__big"), F.least(F.col(hi), base + TILE)).otherwise(F.col(hi)))
+    return out.filter("x1 > x0 AND y1 > y0").select(*keys, *BOX)
