@@ -89,3 +89,13 @@ def number_repeats(df: DataFrame, keys: list[str], name: str, order: list, large
     d = d.join(n, [*keys, name])
     label = F.when(F.col("__n") > 1, F.concat_ws(" ", F.col(name), (F.col("__k") + 1).cast("string"))).otherwise(F.col(name))
     return d.withColumn(out, label).drop("__k", "__n")
+
+
+def strict_json(col: Column) -> Column:
+    """Variant of a text that is one JSON value and nothing else, else NULL.
+
+    The parser ignores text after a value, so the value is parsed as the only element of an array.
+    """
+    v = F.try_parse_json(F.concat(F.lit("["), col, F.lit("]")))
+    one = F.try_variant_get(v, "$[1]", "variant").isNull()
+    return F.when(v.isNotNull() & one, F.try_variant_get(v, "$[0]", "variant"))

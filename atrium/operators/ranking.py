@@ -25,13 +25,12 @@ def rank_distributed(df: DataFrame, keys: list[str], order: list, name: str) ->
     d = checkpointed(d).withColumn("__p", F.shiftright("__m", 33))
     seg = d.groupBy(*keys, "__p").agg(F.min("__m").alias("__lo"), F.count(F.lit(1)).alias("__c"))
     w = W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    seg = seg.select(*keys, "__p", "__lo", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
-    on = F.lit(True)
-    for k in [*keys, "__p"]:
-        on = on & d[k].eqNullSafe(seg[k])
-    out = d.join(seg, on, "inner").select(*[d[c] for c in df.columns],
-                                          (d["__m"] - F.col("__lo") + F.col("__off")).alias(name))
-    return out
+    seg = seg.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col("__p").alias("__sp"), "__lo",
+                     F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
+    on = F.col("__p") == F.col("__sp")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__s_{k}"))
+    return d.join(seg, on).select(*df.columns, (F.col("__m") - F.col("__lo") + F.col("__off")).alias(name))
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list, name: str, large: DataFrame | None = None) -> DataFrame:
