@@ -78,14 +78,15 @@ def hash60(col):
 def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     """Weisfeiler-Lehman node labels. A neighbourhood is the sum of its label hashes, so it needs no sorted list
     and a node of any degree combines map-side. Only equality of labels is meaningful."""
-    nb = both_ways(edges)
+    nb = checkpointed(both_ways(edges))
     lab = nodes.select("plan_id", "idx", hash60(F.col("type")).alias("h"))
     for _ in range(rounds):
         s = nb.join(lab.select("plan_id", F.col("idx").alias("nb"), "h"), ["plan_id", "nb"]).groupBy(
             "plan_id", "idx").agg(F.sum(F.pmod(F.col("h"), F.lit(2**40))).alias("s"))
-        lab = lab.join(s, ["plan_id", "idx"], "left").select(
+        # Each round reads the labels twice, so they are written between rounds.
+        lab = checkpointed(lab.join(s, ["plan_id", "idx"], "left").select(
             "plan_id", "idx", hash60(F.concat_ws("|", F.col("h").cast("string"),
-                                                 F.coalesce("s", F.lit(0)).cast("string"))).alias("h"))
+                                                 F.coalesce("s", F.lit(0)).cast("string"))).alias("h")))
     return lab
 
 
@@ -94,3 +95,24 @@ def wl_hash(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     lab = wl_labels(nodes, edges, rounds)
     return lab.groupBy("plan_id").agg(F.sum(F.pmod(F.col("h"), F.lit(2**40))).alias("s"), F.count(F.lit(1)).alias("n")) \
         .select("plan_id", F.md5(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string"))).alias("topology"))
+
+
+def infer_round(comp: DataFrame, contact: DataFrame) -> DataFrame:
+    """One linking round: each component's longest contact to another component (plan_id, i, j, len)."""
+    c = contact.join(comp.select("plan_id", F.col("idx").alias("i"), F.col("comp").alias("ca")), ["plan_id", "i"]).join(
+        comp.select("plan_id", F.col("idx").alias("j"), F.col("comp").alias("cb")), ["plan_id", "j"]).filter("ca <> cb")
+    both = c.select("plan_id", F.explode(F.array("ca", "cb")).alias("comp"), "i", "j", "len")
+    best = both.groupBy("plan_id", "comp").agg(F.min(F.struct((-F.col("len")).alias("neg"), "i", "j")).alias("m"))
+    return best.select("plan_id", "m.i", "m.j", (-F.col("m.neg")).alias("len")).distinct()
+
+
+def infer_edges(nodes: DataFrame, edges: DataFrame, contact: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """Rounds of linking until no component has a contact left; components at least halve each round."""
+    known = edges.select("plan_id", "i", "j").distinct()
+    added = None
+    while True:
+        new = checkpointed(infer_round(components(nodes, known, large), contact))
+        if new.isEmpty():
+            return added if added is not None else new
+        added = new if added is None else added.unionByName(new)
+        known = known.unionByName(new.select("plan_id", "i", "j"))

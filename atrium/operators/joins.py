@@ -80,21 +80,22 @@ def _best_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if turned else pairs
 
 
-def _match_group(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    if a.empty or b.empty:
-        return pd.DataFrame({"plan_id": [], "type": [], "a_idx": [], "b_idx": [], "dist": []})
-    a, b = a.sort_values("idx"), b.sort_values("idx2")
-    d = np.hypot(a["cx"].to_numpy()[:, None] - b["cx2"].to_numpy(), a["cy"].to_numpy()[:, None] - b["cy2"].to_numpy())
-    pairs = _best_assignment(d)
-    ia, ib = [p[0] for p in pairs], [p[1] for p in pairs]
-    return pd.DataFrame({"plan_id": key[0], "type": key[1], "a_idx": a["idx"].to_numpy()[ia], "b_idx": b["idx2"].to_numpy()[ib], "dist": d[ia, ib]})
+@F.pandas_udf("array<struct<a_idx:bigint,b_idx:bigint,dist:double>>")
+def _match(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        p = np.array([[v["cx"], v["cy"]] for v in x])
+        q = np.array([[v["cx"], v["cy"]] for v in y])
+        d = np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1])
+        out.append([{"a_idx": x[i]["idx"], "b_idx": y[j]["idx"], "dist": float(d[i, j])} for i, j in _best_assignment(d)])
+    return pd.Series(out)
 
 
 def assign_rooms(a: DataFrame, b: DataFrame) -> DataFrame:
     """One-to-one matching of same-type rooms of a plan by centroid distance.
 
     Types a plan has at most once on both sides, the common case, match by a plain join; only repeated types go
-    through the assignment kernel, one group per (plan, type).
+    through the assignment kernel, one packed row per (plan, type).
     """
     def prep(d):
         return d.select("plan_id", "type", "idx", ((C("x0") + C("x1")) / 2).alias("cx"), ((C("y0") + C("y1")) / 2).alias("cy"))
@@ -105,7 +106,9 @@ def assign_rooms(a: DataFrame, b: DataFrame) -> DataFrame:
     one = a.join(many, k, "left_anti").withColumnRenamed("idx", "a_idx").join(
         b.select(*k, C("idx").alias("b_idx"), C("cx").alias("bx"), C("cy").alias("by")), k)
     one = one.select(*k, "a_idx", "b_idx", F.sqrt((C("cx") - C("bx")) ** 2 + (C("cy") - C("by")) ** 2).alias("dist"))
-    ga = a.join(many, k, "left_semi").select(*a.columns)
-    gb = b.join(many, k, "left_semi").select(C("plan_id").alias("p"), C("type").alias("t"), C("idx").alias("idx2"), C("cx").alias("cx2"), C("cy").alias("cy2"))
-    out = ga.groupBy(*k).cogroup(gb.groupBy("p", "t")).applyInPandas(_match_group, "plan_id long, type string, a_idx long, b_idx long, dist double")
+    def packed(d, name):
+        return d.join(many, k, "left_semi").groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("idx", "cx", "cy"))).alias(name))
+
+    both = packed(a, "a").join(packed(b, "b"), k)
+    out = both.select(*k, F.explode(_match("a", "b")).alias("m")).select(*k, "m.a_idx", "m.b_idx", "m.dist")
     return one.unionByName(out)
