@@ -14,13 +14,14 @@ def _fold(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy("plan_id").agg(F.sort_array(F.collect_set(F.col("idx").cast("int"))).alias("ns"))
     d = n.join(e, "plan_id", "left")
     d = d.withColumn("es", F.coalesce("es", F.array().cast("array<struct<i:int,j:int>>")))
-    # Labels start as the node ids; an edge relabels the larger end's class to the smaller one.
+    # Labels are positions in the sorted node array; an edge moves the later class to the earlier one.
     lab = F.expr("""
-        aggregate(es, map_from_arrays(ns, ns), (m, e) ->
-          CASE WHEN m[e.i] = m[e.j] OR m[e.i] IS NULL OR m[e.j] IS NULL THEN m
-          ELSE transform_values(m, (k, v) -> IF(v = greatest(m[e.i], m[e.j]), least(m[e.i], m[e.j]), v)) END)""")
-    return d.select("plan_id", F.explode(lab).alias("idx", "comp")).select(
-        "plan_id", F.col("idx").cast("long").alias("idx"), F.col("comp").cast("long").alias("comp"))
+        aggregate(filter(transform(es, e -> struct(CAST(array_position(ns, e.i) AS INT) - 1 AS i, CAST(array_position(ns, e.j) AS INT) - 1 AS j)),
+                         e -> e.i >= 0 AND e.j >= 0),
+          sequence(0, size(ns) - 1), (l, e) -> IF(l[e.i] = l[e.j], l,
+            transform(l, v -> IF(v = greatest(l[e.i], l[e.j]), least(l[e.i], l[e.j]), v))))""")
+    d = d.select("plan_id", "ns", F.posexplode(lab).alias("pos", "lab"))
+    return d.select("plan_id", F.get("ns", F.col("pos")).cast("long").alias("idx"), F.get("ns", F.col("lab")).cast("long").alias("comp"))
 
 
 def _iterate(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 C, lit = F.col, F.lit
 
@@ -80,7 +81,10 @@ def _best_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if turned else pairs
 
 
-@F.pandas_udf("array<struct<a_idx:bigint,b_idx:bigint,dist:double>>")
+MATCHES = T.ArrayType(T.StructType().add("a_idx", T.LongType()).add("b_idx", T.LongType()).add("dist", T.DoubleType()))
+
+
+@F.pandas_udf(MATCHES)
 def _match(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
