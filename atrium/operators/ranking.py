@@ -65,7 +65,14 @@ def hash_order(*cols, seed: int | str = 0) -> Column:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], prefix: str = "p") -> DataFrame:
-    """Exact linear-interpolated quantiles of groups of any size.
+    """Exact quantiles as columns next to the group size n."""
+    r = quantile_rows(df, keys, value, probs)
+    picks = [F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"{prefix}{_pname(p)}") for i, p in enumerate(probs)]
+    return r.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+
+
+def quantile_rows(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of groups of any size: one row (keys, i, n, value) per probability.
 
     Values are counted per (group, value) first. A monotone bucket of the value then localises the wanted ranks;
     only the few buckets holding a wanted rank are ranked exactly, each inside its own small window.
@@ -97,9 +104,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], pr
         F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("__lo"),
         F.max(F.when(F.col("__side") == 1, F.col("__v"))).alias("__up"))
     r = r.withColumn("__val", F.col("__lo") + (F.col("__pos") - F.floor("__pos")) * (F.col("__up") - F.col("__lo")))
-    picks = [F.max(F.when(F.col("__i") == i, F.col("__val"))).alias(f"{prefix}{_pname(p)}")
-             for i, p in enumerate(probs)]
-    return r.groupBy(*keys).agg(F.max("__n").alias("n"), *picks)
+    return r.select(*keys, F.col("__i").alias("i"), F.col("__n").alias("n"), F.col("__val").alias("value"))
 
 
 def _pname(p: float) -> str:

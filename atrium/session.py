@@ -42,3 +42,9 @@ def large_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> Da
     if big.isEmpty():
         return None
     return checkpointed(big)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions in front of a Python kernel when a small input would leave cores idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
