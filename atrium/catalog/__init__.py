@@ -8,8 +8,8 @@ MODULES = ["labels_filters", "source_queries", "conversions", "join_queries", "a
 
 
 def load():
-    from .base import REGISTRY, SQL
+    from .base import REGISTRY, SQL, expand
     for m in MODULES:
         if find_spec(f"{__name__}.{m}"):
             import_module(f"{__name__}.{m}")
-    return REGISTRY, SQL
+    return REGISTRY, {k: expand(v) for k, v in SQL.items()}

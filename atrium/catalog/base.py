@@ -171,7 +171,7 @@ def query(key: str, sql: str | None = None):
         run.__name__ = key
         REGISTRY[key] = run
         if sql is not None:
-            SQL[key] = expand(sql)
+            SQL[key] = sql
         return fn
 
     return wrap
