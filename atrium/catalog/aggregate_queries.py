@@ -54,7 +54,7 @@ def rule_rows(t):
     """Every rule metric per plan; the flag stays missing for plans without rooms."""
     from .spatial_queries import closed
     ov = P.overlap_ratio(t.rooms, t.large).select("plan_id", "overlap_ratio")
-    ho = P.hole_ratio(closed(t)).select("plan_id", "hole_ratio")
+    ho = P.hole_ratio(closed(t), t.large).select("plan_id", "hole_ratio")
     comp = N.components(t.rooms, t.adj, t.large).filter("idx = comp").groupBy("plan_id").agg(F.count(lit(1)).alias("adj_components"))
     n = t.rooms.groupBy("plan_id").agg(F.count(lit(1)).alias("n_rooms"))
     d = t.plans.select("plan_id", "dataset", "variant").join(M.plan_shares(t.plans, t.rooms, t.thresholds), "plan_id", "left")

@@ -227,7 +227,7 @@ def objects_footprint(t):
   SELECT a.plan_id, a.type, a.idx AS room, b.idx AS program_room FROM a JOIN b ON a.plan_id = b.plan_id AND a.type = b.type AND a.k = b.k""")
 def conv_rename_rooms(t):
     f = lambda d: d.select("plan_id", "type", "idx", ((C("x1") - C("x0")) * (C("y1") - C("y0"))).alias("area"))
-    return V.rank_match(f(t.gen_rooms), f(t.rooms), ["plan_id", "type"])
+    return V.rank_match(f(t.gen_rooms), f(t.rooms), ["plan_id", "type"], t.large)
 
 
 @query("to_metres", "SELECT plan_id, idx, k, round(x * 0.01, 6) AS x, round(y * 0.01, 6) AS y FROM ring_points")

@@ -150,7 +150,7 @@ def brief_text(t):
     """Program as text: rooms by decreasing area, repeated names numbered. A text is cut into parts of 500 rooms."""
     r = t.rooms.withColumn("a", (C("x1") - C("x0")) * (C("y1") - C("y0")))
     r = L.number_repeats(r, ["plan_id"], "type", ["idx"], t.large, "name")
-    o = rank_within(r, ["plan_id"], [F.desc("a"), C("idx")], "pos", t.large)
+    o = rank_within(r, ["plan_id"], [-C("a"), C("idx")], "pos", t.large)
     line = F.concat(C("name"), lit(" ("), F.floor(C("a") / 1000), lit(" dm2)"))
     g = o.groupBy("plan_id", F.floor(C("pos") / 500).alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("pos", line.alias("s")))).alias("l"))

@@ -112,7 +112,7 @@ def room_count_holdout(t):
 @query("paint_order", "SELECT plan_id, idx, row_number() OVER (PARTITION BY plan_id ORDER BY (x1 - x0) * (y1 - y0) DESC, idx) - 1 AS paint FROM rooms")
 def paint_order(t):
     r = t.rooms.select("plan_id", "idx", ((C("x1") - C("x0")) * (C("y1") - C("y0"))).alias("area"))
-    return rank_within(r, ["plan_id"], [F.desc("area"), "idx"], "paint", t.large).select("plan_id", "idx", "paint")
+    return rank_within(r, ["plan_id"], [-C("area"), "idx"], "paint", t.large).select("plan_id", "idx", "paint")
 
 
 @query("best_of_n", """SELECT user_id, min_by(event_id, struct_pack(bad := CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END, ov := value, id := event_id)) AS best FROM events GROUP BY user_id""")

@@ -13,7 +13,7 @@ def _cols(order):
 
 
 def rank_distributed(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
-    """0-based position inside a group of any size.
+    """0-based position inside a group of any size; order by ascending expressions (negate for descending).
 
     One range sort spreads even a single group over all tasks. The sorted rows are checkpointed, so positions
     inside a task are stable; each (group, task) segment then only needs the row count of the segments before it.

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import spatial
@@ -19,24 +20,30 @@ def overlap_ratio(rooms: DataFrame, large: DataFrame | None = None) -> DataFrame
     return s.join(u, "plan_id").withColumn("overlap_ratio", (C("area_sum") - C("union_cm2")) / C("union_cm2"))
 
 
-def _touching(pieces: DataFrame) -> DataFrame:
-    """Edges between pieces of neighbouring slabs whose y intervals overlap: an equi-join on the shared cut."""
-    a = pieces.select("plan_id", C("idx").alias("i"), C("x1").alias("x"), C("y0").alias("a0"), C("y1").alias("a1"))
-    b = pieces.select("plan_id", C("idx").alias("j"), C("x0").alias("x"), C("y0").alias("b0"), C("y1").alias("b1"))
-    return a.join(b, ["plan_id", "x"]).filter("least(a1, b1) > greatest(a0, b0)").select("plan_id", "i", "j")
+def _touching(pieces: DataFrame, tiled: bool = False) -> DataFrame:
+    """Edges between pieces sharing a stretch of border: equi-joins on the shared cut.
+
+    Slabs of one decomposition only meet along x cuts; tiles of a large plan also meet along y.
+    """
+    def along(c, o):
+        a = pieces.select("plan_id", C("idx").alias("i"), C(f"{c}1").alias("at"), C(f"{o}0").alias("a0"), C(f"{o}1").alias("a1"))
+        b = pieces.select("plan_id", C("idx").alias("j"), C(f"{c}0").alias("at"), C(f"{o}0").alias("b0"), C(f"{o}1").alias("b1"))
+        return a.join(b, ["plan_id", "at"]).filter("least(a1, b1) > greatest(a0, b0)").select("plan_id", "i", "j")
+
+    e = along("x", "y")
+    return e.unionByName(along("y", "x")) if tiled else e
 
 
-def plan_pieces(closed: DataFrame) -> DataFrame:
+def plan_pieces(closed: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """Connected pieces of a closed plan: (plan_id, n_components)."""
-    large = large_groups(closed, ["plan_id"])
-    p = checkpointed(rank_within(closed, ["plan_id"], ["x0", "y0"], "idx", large))
-    return components(p, _touching(p), large).filter("idx = comp").groupBy("plan_id").agg(
+    many = large_groups(closed, ["plan_id"])
+    p = checkpointed(rank_within(closed, ["plan_id"], ["x0", "y0"], "idx", many))
+    return components(p, _touching(p, large is not None), many).filter("idx = comp").groupBy("plan_id").agg(
         F.count(lit(1)).alias("n_components"))
 
 
-def hole_pieces(closed: DataFrame) -> DataFrame:
-    """Complement pieces inside the slabs of a closed plan that no path links to the outside."""
-    from pyspark.sql import Window as W
+def _slab_gaps(closed: DataFrame) -> DataFrame:
+    """Complement of ordinary plans: gaps above, below and between the boxes of each slab, outer ones flagged."""
     far = 10 ** 9
     w = W.partitionBy("plan_id", "x0").orderBy("y0")
     d = closed.select("plan_id", "x0", "x1", "y0", "y1", F.lead("y0").over(w).alias("next"), F.lag("y1").over(w).alias("prev"))
@@ -50,35 +57,59 @@ def hole_pieces(closed: DataFrame) -> DataFrame:
     right = slabs.select("plan_id", C("x0").alias("x1"), lit(True).alias("r"))
     left = slabs.select("plan_id", C("x1").alias("x0"), lit(True).alias("l"))
     gaps = gaps.join(right, ["plan_id", "x1"], "left").join(left, ["plan_id", "x0"], "left")
-    gaps = gaps.withColumn("out", C("out") | C("r").isNull() | C("l").isNull()).drop("r", "l")
+    return gaps.select("plan_id", "x0", "x1", "y0", "y1", (C("out") | C("r").isNull() | C("l").isNull()).alias("out"))
+
+
+def _tile_gaps(closed: DataFrame) -> DataFrame:
+    """Complement of large plans, tile by tile, over the plan's tiles and one empty ring around them (the outside)."""
+    size = spatial.TILE
+    t = closed.select("plan_id", *spatial.BOX, F.floor(C("x0") / size).alias("tx"), F.floor(C("y0") / size).alias("ty"))
+    g = t.groupBy("plan_id").agg(*[f(c).alias(n) for f, c, n in ((F.min, "tx", "a"), (F.max, "tx", "b"), (F.min, "ty", "c"), (F.max, "ty", "d"))])
+    g = g.withColumn("tx", F.explode(F.sequence(C("a") - 1, C("b") + 1))).withColumn("ty", F.explode(F.sequence(C("c") - 1, C("d") + 1)))
+    g = g.withColumn("out", (C("tx") < C("a")) | (C("tx") > C("b")) | (C("ty") < C("c")) | (C("ty") > C("d")))
+    # Flat boxes along the lower and upper tile border turn every free stretch into a gap between two boxes.
+    rim = g.select("plan_id", "tx", "ty", (C("tx") * size).alias("x0"), ((C("tx") + 1) * size).alias("x1"),
+                   F.explode(F.array(C("ty") * size, (C("ty") + 1) * size)).alias("y0")).withColumn("y1", C("y0"))
+    runs = spatial.slab_runs(t.unionByName(rim), ["plan_id", "tx", "ty"], "x")
+    w = W.partitionBy("plan_id", "tx", "ty", "x0").orderBy("y0")
+    d = runs.select("plan_id", "tx", "ty", "x0", "x1", C("y1").alias("y0"), F.lead("y0").over(w).alias("y1")).filter("y1 > y0")
+    return d.join(g.select("plan_id", "tx", "ty", "out"), ["plan_id", "tx", "ty"]).select("plan_id", "x0", "x1", "y0", "y1", "out")
+
+
+def hole_pieces(closed: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """Complement pieces of a closed plan that no path links to the outside."""
+    if large is None:
+        gaps = _slab_gaps(closed)
+    else:
+        gaps = _slab_gaps(closed.join(large, "plan_id", "left_anti")).unionByName(_tile_gaps(closed.join(large, "plan_id", "left_semi")))
     gaps = checkpointed(gaps)
-    large = large_groups(gaps, ["plan_id"])
-    p = checkpointed(rank_within(gaps, ["plan_id"], ["x0", "y0"], "idx", large))
-    comp = components(p, _touching(p), large)
+    many = large_groups(gaps, ["plan_id"])
+    p = checkpointed(rank_within(gaps, ["plan_id"], ["x0", "y0"], "idx", many))
+    comp = components(p, _touching(p, large is not None), many)
     pc = p.join(comp, ["plan_id", "idx"])
     open_ = pc.filter("out").select("plan_id", "comp").distinct()
     return pc.join(open_, ["plan_id", "comp"], "left_anti").select("plan_id", "comp", "x0", "x1", "y0", "y1")
 
 
-def hole_ratio(closed: DataFrame) -> DataFrame:
+def hole_ratio(closed: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """(plan_id, closed_cm2, hole_cm2, hole_ratio): enclosed gaps over the filled footprint.
 
     ``closed`` is read several times: pass a written or checkpointed table.
     """
     box = (C("x1") - C("x0")) * (C("y1") - C("y0"))
     c = closed.groupBy("plan_id").agg(F.sum(box).alias("closed_cm2"))
-    h = hole_pieces(closed).groupBy("plan_id").agg(F.sum(box).alias("h"))
+    h = hole_pieces(closed, large).groupBy("plan_id").agg(F.sum(box).alias("h"))
     d = c.join(h, "plan_id", "left").withColumn("hole_cm2", F.coalesce("h", lit(0)))
     return d.select("plan_id", "closed_cm2", "hole_cm2", (C("hole_cm2") / (C("closed_cm2") + C("hole_cm2"))).alias("hole_ratio"))
 
 
-def outline_shape(closed: DataFrame) -> DataFrame:
+def outline_shape(closed: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """Filled outline: share of its bounding box and number of corners.
 
     A corner is a grid point where the filled cells around it do not form a straight line. Each box of a slab
     decomposition adds its four corners with signs; corners that cancel or pair up along a line vanish in the sum.
     """
-    filled = closed.select("plan_id", *spatial.BOX).unionByName(hole_pieces(closed).select("plan_id", *spatial.BOX))
+    filled = closed.select("plan_id", *spatial.BOX).unionByName(hole_pieces(closed, large).select("plan_id", *spatial.BOX))
     box = (C("x1") - C("x0")) * (C("y1") - C("y0"))
     a = filled.groupBy("plan_id").agg(F.sum(box).alias("area"), ((F.max("x1") - F.min("x0")) * (F.max("y1") - F.min("y0"))).alias("bb"))
     pts = filled.select("plan_id", F.inline(F.array(

@@ -2,12 +2,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import affine, bbox, finite_ring, polygon_area
 from ..functions.labels import feet_inches, lookup
-from ..operators.ranking import quantiles
+from ..operators.ranking import quantiles, rank_within
 
 C, lit = F.col, F.lit
 
@@ -106,11 +105,11 @@ def footprint(matrix: Column, bounds: Column) -> Column:
     return F.array(put(x0, y0, z0), put(x1, y0, z0), put(x1, y0, z1), put(x0, y0, z1))
 
 
-def rank_match(named: DataFrame, program: DataFrame, keys: list[str]) -> DataFrame:
+def rank_match(named: DataFrame, program: DataFrame, keys: list[str], large: DataFrame | None = None) -> DataFrame:
     """Layout and program rooms of a type paired by falling area."""
-    w = lambda: W.partitionBy(*keys).orderBy(F.desc("area"), "idx")
-    a = named.withColumn("k", F.row_number().over(w())).select(*keys, "k", C("idx").alias("room"))
-    b = program.withColumn("k", F.row_number().over(w())).select(*keys, "k", C("idx").alias("program_room"))
+    ranked = lambda d: rank_within(d, keys, [-C("area"), "idx"], "k", large)
+    a = ranked(named).select(*keys, "k", C("idx").alias("room"))
+    b = ranked(program).select(*keys, "k", C("idx").alias("program_room"))
     return a.join(b, [*keys, "k"]).select(*keys, "room", "program_room")
 
 
