@@ -158,7 +158,7 @@ def disjoint_halves(t):
     p = t.plans.select("plan_id", "dataset")
     r = rank_distributed(p, ["dataset"], [hash_order("plan_id", seed=1)], "pos")
     n = p.groupBy("dataset").agg(F.count(lit(1)).alias("n"))
-    return r.join(F.broadcast(n), "dataset").select("plan_id", "dataset", F.when((C("pos") + 1) * 2 <= C("n"), 0).otherwise(1).alias("half"))
+    return r.join(n, "dataset").select("plan_id", "dataset", F.when((C("pos") + 1) * 2 <= C("n"), 0).otherwise(1).alias("half"))
 
 
 @query("restore_rejected", """SELECT event_id, user_id, 'room' AS op, value FROM events WHERE event_type = 'signup' UNION ALL SELECT event_id, user_id, 'opening', value FROM events WHERE event_type = 'error' AND value > 10

@@ -138,7 +138,7 @@ def mark_best(df, keys, lowest=()):
     """Flag the best printed value per metric, ties all marked; names in ``lowest`` want the minimum."""
     hi = df.groupBy(*keys).agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
     target = F.when(C("metric").isin(list(lowest)), C("lo")).otherwise(C("hi")) if lowest else C("hi")
-    return df.join(F.broadcast(hi), keys).withColumn("best", C("value") == target).drop("hi", "lo")
+    return df.join(hi, keys).withColumn("best", C("value") == target).drop("hi", "lo")
 
 
 @query("bfs_order", """WITH RECURSIVE walk AS (SELECT plan_id, seed AS idx, 0 AS d FROM front_room UNION

@@ -65,15 +65,20 @@ def nearest_neighbour(df: DataFrame, id_col: str, vec_col: str, n_pivots: int |
     cand = cand.select(F.col("cell").alias("ccell"), F.col("block").alias("cblock"), F.col("id").alias("cid"), F.col("vec").alias("cvec"))
 
     def search(queries: DataFrame) -> DataFrame:
-        """Queries tagged with a cell meet every block of that cell, in batches of hashed queries."""
-        q = queries.join(cells, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        """Queries of a cell meet every block of it. Both sides are cut by hash, so no task sees a whole crowded cell."""
+        qn = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("batches"))
+        q = queries.join(cells, "cell").join(F.broadcast(qn), "cell").withColumn(
+            "batch", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.col("batches")).cast("int")).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        c = cand.join(F.broadcast(qn.withColumnRenamed("cell", "ccell")), "ccell").withColumn(
+            "cbatch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).select("ccell", "cblock", "cbatch", "cid", "cvec")
 
         def run(key, a, b):
             return _closest(a, b) if len(a) and len(b) else pd.DataFrame({"id": [], "nn_id": [], "dist": []})
 
         t = d.schema["id"].dataType.simpleString()
-        out = q.select("cell", "block", "id", "vec").groupBy("cell", "block").cogroup(cand.groupBy("ccell", "cblock")).applyInPandas(
-            run, f"id {t}, nn_id {t}, dist double")
+        out = q.select("cell", "block", "batch", "id", "vec").groupBy("cell", "block", "batch").cogroup(
+            c.groupBy("ccell", "cblock", "cbatch")).applyInPandas(run, f"id {t}, nn_id {t}, dist double")
         return out.filter("dist < double('inf')")
 
     pick = F.min(F.struct("dist", "nn_id")).alias("m")
@@ -93,6 +98,6 @@ def nearest_neighbour(df: DataFrame, id_col: str, vec_col: str, n_pivots: int |
         return pd.Series(out)
 
     b = d.join(bound, "id", "left").na.fill(1e300, ["ub"])
-    far = b.select("id", "vec", F.explode(other_cells("vec", "cell", "ub")).alias("cell"))
+    far = checkpointed(b.select("id", "vec", F.explode(other_cells("vec", "cell", "ub")).alias("cell")))
     best = first.unionByName(search(far)).groupBy("id").agg(pick)
     return best.select(F.col("id").alias(id_col), F.col("m.nn_id").alias("nn_id"), F.col("m.dist").alias("dist"))

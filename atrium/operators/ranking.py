@@ -48,7 +48,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list, name: str, large: D
     return small.unionByName(big)
 
 
-def top_k(df: DataFrame, keys: list[str], order: list, k: int, salts: int = 16) -> DataFrame:
+def top_k(df: DataFrame, keys: list[str], order: list, k: int, salts: int = 64) -> DataFrame:
     """First k rows per group. A salted first pass leaves at most salts * k rows per group for the second."""
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
     d = df.withColumn("__s", salt)

@@ -80,10 +80,7 @@ def door_hits(doors: DataFrame, rooms: DataFrame, tol: int = 30, large: DataFram
 
 
 def door_edges(doors: DataFrame, rooms: DataFrame, tol: int = 30, large: DataFrame | None = None) -> DataFrame:
-    """The two rooms an interior door overlaps most, one row per door.
-
-    The best two are kept by a pair of mergeable aggregates, so no door needs a sort of its candidates.
-    """
+    """The two rooms an interior door overlaps most, one row per door. A door's candidates are the few rooms around it."""
     h = door_hits(doors.filter(F.col("type") != "front_door"), rooms, tol, large)
     h = h.withColumn("s", F.struct("area", "idx"))
     w = W.partitionBy("plan_id", "k").orderBy(F.desc("area"), F.desc("idx"))

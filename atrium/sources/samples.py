@@ -78,7 +78,7 @@ def write_splits(ids: DataFrame, path: str, chunk: int = 1000) -> None:
     r = rank_distributed(ids.select("split", "id"), ["split"], ["id"], "pos")
     n = ids.groupBy("split").agg(F.count(lit(1)).alias("count"))
     g = r.groupBy("split", F.floor(C("pos") / chunk).alias("part")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    g.join(F.broadcast(n), "split").write.mode("overwrite").json(path)
+    g.join(n, "split").write.mode("overwrite").json(path)
 
 
 def read_splits(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
