@@ -112,7 +112,9 @@ def test_edit_distance_brute_force():
             g.append(([rnd.choice("ab") for _ in range(n)], m))
         (ta, ma), (tb, mb) = g
         assert isomorphism._ged(ta, ma, tb, mb, 10 ** 6) == brute(ta, ma, tb, mb)
-        assert isomorphism._same(ta, ma, ta, ma)
+        turn = rnd.sample(range(len(ta)), len(ta))
+        assert isomorphism._same(ta, ma, [ta[k] for k in turn], ma[np.ix_(turn, turn)])
+        assert isomorphism._same(ta, ma, tb, mb) == (brute(ta, ma, tb, mb) == 0)
 
 
 def test_components_two_ways(spark):
