@@ -1,11 +1,16 @@
 """Registered queries of the corpus operators and the SQL that must give the same rows where SQL can express them."""
 from __future__ import annotations
 
-from . import dedup, mixing, sharding
+from . import dedup, mixing, packing, pii, quality, repetition, secrets, sharding
 
 QUERIES = {
     "op1_kd_shards": sharding.op1_kd_shards,
     "op2_content_sort": dedup.op2_content_sort,
     "op3_curriculum": mixing.op3_curriculum,
+    "op4_repetition": repetition.op4_repetition,
+    "op5_sum_of_squares": packing.op5_sum_of_squares,
+    "op6_weak_labels": quality.op6_weak_labels,
+    "op7_deobfuscation": pii.op7_deobfuscation,
+    "op9_entropy": secrets.op9_entropy,
 }
 SQL = {"op2_content_sort": dedup.SQL}
