@@ -43,10 +43,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data - np.uint8(65)) < 26, data + np.uint8(32), data)
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES):
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, most_rows: int = 60_000):
     """Slices of a string column as (first row, byte array, row offsets into it); null rows are empty.
 
-    A slice ends at the row that reaches ``limit`` bytes, so one very long document is a slice of its own."""
+    A slice ends at the row that reaches ``limit`` bytes, so one very long document is a slice of its own, or after
+    ``most_rows`` rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not pa.types.is_large_string(column.type):
@@ -61,7 +62,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES):
     i = 0
     while i < rows:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="left"))
-        j = min(max(j, i + 1), rows)
+        j = min(max(j, i + 1), i + most_rows, rows)
         yield i, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         i = j
 
