@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators and the SQL that must give the same rows where SQL can express them."""
 from __future__ import annotations
 
-from . import dedup, mixing, packing, pii, quality, repetition, secrets, sharding
+from . import dedup, jaccard, lm, mixing, packing, pii, quality, repetition, secrets, sharding
 
 QUERIES = {
     "op1_kd_shards": sharding.op1_kd_shards,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_sum_of_squares": packing.op5_sum_of_squares,
     "op6_weak_labels": quality.op6_weak_labels,
     "op7_deobfuscation": pii.op7_deobfuscation,
+    "op8_heavy_light": jaccard.op8_heavy_light,
     "op9_entropy": secrets.op9_entropy,
+    "op10_stupid_backoff": lm.op10_stupid_backoff,
 }
-SQL = {"op2_content_sort": dedup.SQL}
+SQL = {"op2_content_sort": dedup.SQL, "op10_stupid_backoff": lm.SQL}
