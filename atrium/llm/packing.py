@@ -139,10 +139,11 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
             bins[i], used = used, used + 1
             continue
         here = count[s:capacity]
-        change = np.where(here > 0, count[:capacity - s] - here, 1 << 60)  # half the growth, apart from the constant
-        change[0] -= here[0] > 0  # an exact fit opens no new gap
-        g = int(change.argmin())
-        if change[g] < count[capacity - s] or (change[g] == count[capacity - s] and here[g] > 0):
+        growth = np.where(here > 0, 2 * (count[:capacity - s] - here) + 2, 1 << 60)
+        if here[0]:
+            growth[0] = 1 - 2 * here[0]  # an exact fit opens no new gap
+        g = int(growth.argmin())
+        if growth[g] <= 2 * count[capacity - s] + 1:
             gap = g + s
             b = stacks[gap].pop()
             count[gap] -= 1
