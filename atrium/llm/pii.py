@@ -31,6 +31,9 @@ DIGIT_WORDS = {"zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "f
                "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
                "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
                "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9}
+# Last parts of host names that an address in plain words (name at host dot com) must have.
+HOST_ENDS = ("com org net edu gov mil int info biz name io co ai app dev me tv eu us uk ca au nz in de fr es it nl be ch at se no dk fi pl pt br mx ar jp kr cn "
+             "example test invalid").split()
 WIDTHLESS = "​‌‍⁠﻿­"
 
 CHARACTER = {x: latin for latin, likes in LOOKALIKES.items() for x in likes} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys(WIDTHLESS, "")
@@ -117,6 +120,8 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
         last = re.split(DOT, host, flags=re.IGNORECASE)[-1]
         if not 2 <= len(last) <= 12 or not last.isalpha():
             continue
+        if not re.search(r"[\(\[\{<@]", m.group()) and last.lower() not in HOST_ENDS:
+            continue
         for part, base in (("name", m.start("name")), ("at", m.start("at")), ("host", m.start("host"))):
             if part == "at":
                 out.append((m.start("at"), m.end("at"), "@"))
