@@ -21,7 +21,7 @@ from .repetition import sums, text_counts
 
 SAMPLE = 4000        # documents that the scorer is fitted on, at most
 BUCKETS = 4096       # hashed features
-THRESHOLD = 0.5      # least score of a document that stays
+THRESHOLD = 0.4      # least score of a document that stays: in doubt it does
 BAD, ABSTAIN, GOOD = 0, 1, 2
 # Very common words of English, German, French and Spanish.
 COMMON = "the of and to in is that for der die und das ist mit zu ein le la les et de que un une el los y en por".split()
@@ -66,7 +66,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
         pick(long_enough & (s["capitals"] > 0.40), s["capitals"] < 0.15),
         pick(long_enough & (s["exclamations"] > 0.25), s["exclamations"] < 0.05),
         pick(np.zeros(len(s["n"]), bool), s["ending"] > 0),
-        pick(s["n"] < 3, s["n"] >= 10)], axis=1)
+        pick(s["n"] == 0, s["n"] >= 10)], axis=1)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
@@ -125,7 +125,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, penalty: float = 1e-3)
 
 
 def weak_label_scores(df: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, carry: tuple = ()) -> DataFrame:
-    """Score every row of (doc_id, text): doc_id, votes, posterior, score, kept and the columns of ``carry``.
+    """Score every row of (doc_id, text): doc_id, votes, posterior, score, kept and the columns of ``carry`` as in_<name>.
 
     Null and empty texts get the votes of an empty text and are scored like any other; repeated rows score alike; an empty
     table gives no rows. The fit depends on the documents alone: the sample is drawn by a hash of doc_id."""
