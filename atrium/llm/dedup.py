@@ -37,7 +37,7 @@ def _splitters(keyed: DataFrame, ranges: int) -> list[dict]:
 def content_sort(df: DataFrame, carry: tuple = ()) -> DataFrame:
     """Groups of equal normalised texts of (doc_id, text), one row per input row.
 
-    Result: doc_id, keep_id, group_size, kept, text_sha256 and the columns of ``carry``. Null text counts as empty. The row
+    Result: doc_id, keep_id, group_size, kept, text_sha256 and the columns of ``carry`` as in_<name>. Null text counts as empty. The row
     with the smallest doc_id stays (null ids come last); of fully repeated rows exactly one stays. Texts are equal when
     they agree after runs of white space become one space, whatever their length. An empty table gives an empty result."""
     spark = df.sparkSession
@@ -78,13 +78,13 @@ def content_sort(df: DataFrame, carry: tuple = ()) -> DataFrame:
     out = lines.join(sized, ["bucket", "g"])
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size",
                       (F.col("first") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("sha").alias("text_sha256"),
-                      *[F.col("rest")[c].alias(c) for c in carry if c != "doc_id"])
+                      *[F.col("rest")[c].alias(f"in_{c}") for c in carry])
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
     keep = content_sort(docs, tuple(docs.columns)).filter("kept")
-    return keep.select(*docs.columns)
+    return keep.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 
 def op2_content_sort(spark, sf_dir):

@@ -63,7 +63,7 @@ def curriculum(df: DataFrame, weights=WEIGHTS, demand=DEMAND, passes=PASSES, sch
     A source's documents follow each other in a hashed order; a document's place in that cumulative demand, put through the
     inverse of the source's integrated weight schedule, is its time in training. The document in which the target is met
     is cut at that word. Every document has a row for pass 0; ``take`` 0 means not taken (time null, at the end).
-    Result: row_id (of the document), doc_id, size, source_size, target, pass, take, time, position and ``carry``.
+    Result: row_id (of the document), doc_id, size, source_size, target, pass, take, time, position and ``carry`` as in_<name>.
     Null text has size 0, null source is a source; repeated rows are documents of their own; empty tables give no rows."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"),
                      F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("rest"))

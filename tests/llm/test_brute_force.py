@@ -1,0 +1,275 @@
+"""Operators against plain Python on given tables and on made-up groups that force every split."""
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from conftest import DATA
+
+from atrium.llm import dedup, hashing, jaccard, mixing, packing, pii, quality, queries, repetition, secrets, sharding
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts(duck):
+    return dict(duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
+
+
+def shingle_set(text, size=5):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    return {tuple(w)} if 0 < len(w) < size else set(zip(*[w[k:] for k in range(size)]))
+
+
+def linked_components(texts):
+    ids = sorted(texts)
+    sets = {d: shingle_set(texts[d]) for d in ids}
+    lists, root = collections.defaultdict(list), {d: d for d in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d in ids:
+        common = collections.Counter(o for s in sets[d] for o in lists[s])
+        for o, c in common.items():
+            if 4 * c >= 3 * (len(sets[d]) + len(sets[o]) - c):
+                a, b = find(d), find(o)
+                root[max(a, b)] = min(a, b)
+        for s in sets[d]:
+            lists[s].append(d)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def test_join(spark, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op8_heavy_light"](spark, DATA).collect()}
+    assert got == linked_components(texts)
+
+
+def test_join_of_large_group(spark, monkeypatch):
+    """A family of edited copies over many blocks, tiny texts around the boundary, shared passages, exact copies."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base, passage = [word() for _ in range(60)], [word() for _ in range(30)]
+    texts = {}
+    for k in range(160):
+        copy = list(base)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(60)] = word()
+        texts[k] = " ".join(copy)
+    for k in range(160, 220):
+        texts[k] = " ".join([word() for _ in range(rng.randrange(60))] + passage)
+    small = [word() for _ in range(14)]
+    for k in range(220, 300):
+        texts[k] = " ".join(small[:rng.randrange(1, 15)])
+    order = list(texts)
+    rng.shuffle(order)
+    named = dict(enumerate(texts[k] for k in order))
+    df = spark.createDataFrame(list(named.items()), "doc_id long, text string")
+    want = linked_components(named)
+    for bucket, block, rows in ((jaccard.BUCKET_SHINGLES, jaccard.BLOCK_SHINGLES, jaccard.BROADCAST_ROWS), (500, 400, 0)):
+        for boundary in (None, 8):
+            monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", bucket)
+            monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+            monkeypatch.setattr(jaccard, "BROADCAST_ROWS", rows)
+            if boundary:
+                monkeypatch.setattr(jaccard, "cost_boundary", lambda cores: boundary)
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+            assert got == want
+            monkeypatch.undo()
+
+
+def test_dedup_of_large_group(spark, monkeypatch):
+    """One group holds a third of all rows and is cut over several ranges."""
+    rows = [(k, ["same  text", f"text {k}", f"other\t{k % 7}"][k % 3]) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in dedup.content_sort(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t)].append(d)
+    assert got == {d: (min(g), len(g), d == min(g)) for g in groups.values() for d in g}
+
+
+def test_shards(spark, texts):
+    rows = queries.QUERIES["op1_kd_shards"](spark, DATA).collect()
+    size = collections.Counter()
+    for r in rows:
+        assert (r["size"], r.text_crc32) == (len(texts[r.doc_id].encode()) + 16, zlib.crc32(texts[r.doc_id].encode()))
+        size[r.shard] += r["size"]
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and set(size) <= set(range(40))
+    largest = max(r["size"] for r in rows)
+    assert max(size.values()) - sum(size.values()) / 40 <= largest
+    for s in size:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert sharding.kd_shards(spark.read.parquet(f"{DATA}/documents.parquet"), target_bytes=100_000).select("shard").distinct().count() >= 4
+
+
+def test_mix(spark, texts, duck):
+    rows = queries.QUERIES["op3_curriculum"](spark, DATA).collect()
+    source = dict(duck.execute("SELECT doc_id, source FROM documents").fetchall())
+    assert {r.doc_id: r["size"] for r in rows} == {d: len(WORD.findall(t)) for d, t in texts.items()}
+    total = collections.Counter()
+    for r in rows:
+        total[source[r.doc_id]] += r["size"]
+    names = sorted(total)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    want, full = {}, set()
+    while True:  # share again what full sources leave
+        rest = 1.5 * sum(total.values()) - sum(2 * total[s] for s in full)
+        open_ = [s for s in names if s not in full]
+        want = {s: 2.0 * total[s] if s in full else rest * weight[s] / sum(weight[o] for o in open_) for s in names}
+        over = {s for s in open_ if want[s] > 2 * total[s]}
+        if not over:
+            break
+        full |= over
+    for s in names:
+        own = [r for r in rows if source[r.doc_id] == s]
+        assert all(abs(r.target - want[s]) < 1e-6 and r.source_size == total[s] and 0 <= r.taken <= 2 * r["size"] for r in own)
+        assert abs(sum(r.taken for r in own) - want[s]) <= 1
+    mix = mixing.curriculum(spark.read.parquet(f"{DATA}/documents.parquet")).collect()
+    taken = sorted((r for r in mix if r["take"]), key=lambda r: r.position)
+    assert [r.position for r in taken] == list(range(len(taken))) and [r.time for r in taken] == sorted(r.time for r in taken)
+    first = [source[r.doc_id] for r in taken[:len(taken) // 4]]
+    early = [s for k, s in enumerate(names) if k % 3 == 0]
+    late = [s for k, s in enumerate(names) if k % 3 == 1]
+    share = lambda group: sum(r["take"] for r in taken[:len(first)] if source[r.doc_id] in group) / sum(r["take"] for r in taken if source[r.doc_id] in group)
+    assert share(early) > share(late)
+
+
+def test_repetition(spark, texts):
+    for r in queries.QUERIES["op4_repetition"](spark, DATA).collect():
+        t = texts[r.doc_id]
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+
+        def inside(n, least):
+            seen, out = collections.Counter(), set()
+            every = collections.Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
+            for i in range(len(w) - n + 1):
+                g = tuple(w[i:i + n])
+                seen[g] += 1
+                if every[g] > 1 and seen[g] > least:
+                    out.update(range(i, i + n))
+            return out
+
+        repeated = len(inside(5, 0))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeated)
+        dup = {n: sum(len(w[i]) for i in inside(n, 1)) for n in repetition.NGRAM_LIMITS}
+        assert all(r[f"dup_chars_{n}"] == c for n, c in dup.items())
+        failed = len(w) < 10 or 100 * repeated > 20 * len(w)
+        assert r.base_failed == failed
+        assert r.kept == (not failed and all(c <= repetition.NGRAM_LIMITS[n] * r.word_chars for n, c in dup.items()) and r.dup_line_chars <= 0.2 * r.word_chars)
+
+
+def test_packing(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = queries.QUERIES["op5_sum_of_squares"](spark, DATA).collect()
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    for d, t in texts.items():
+        ids = coder.encode(t, add_special_tokens=False).ids + [0]
+        pieces = sorted(by_doc[d], key=lambda r: r.piece)
+        assert [p.start for p in pieces] == [0, *np.cumsum([p.length for p in pieces]).tolist()[:-1]] and sum(p.length for p in pieces) == len(ids)
+        assert len(pieces) == 1 if len(ids) <= 2048 else all(p.length == 2048 for p in pieces[1:])
+        assert all(p.ids_crc32 == zlib.crc32(np.array(ids[p.start:p.start + p.length], "<u4").tobytes()) for p in pieces)
+    for s in by_seq.values():
+        s = sorted(s, key=lambda r: r.offset)
+        assert [r.offset for r in s] == [0, *np.cumsum([r.length for r in s]).tolist()[:-1]] and s[-1].offset + s[-1].length <= 2048
+    assert len(by_seq) <= 1.03 * -(-sum(r.length for r in rows) // 2048) + 1
+
+
+def test_token_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    coder, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Tokens()
+    for t in ["", " ", "  a", "a  b", "a \n b", " a b ", "x <|endoftext|> y", "it's  fine 'll\n\n ok", "a b  c", "\ta\x0bb", "é  ü x", "　a b　 c", "a\n b c\t d", "a" * 5000]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == coder.encode(t, add_special_tokens=False).ids
+
+
+def test_sum_of_squares():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 21, 300)
+    bins, offsets = packing.sum_of_squares(sizes, 20)
+    count, gap = collections.Counter(), {}
+    for s, b, o in zip(sizes.tolist(), bins.tolist(), offsets.tolist()):
+        best = None
+        for g in [g for g in count if count[g] and g >= s] + [20]:
+            new = collections.Counter(count)
+            new[g] -= g < 20
+            if 0 < g - s:
+                new[g - s] += 1
+            cost = sum(v * v for v in new.values())
+            best = cost if best is None else min(best, cost)
+        g = gap.get(b, 20)
+        assert o == 20 - g and g >= s
+        count[g] -= g < 20
+        if g - s:
+            count[g - s] += 1
+        gap[b] = g - s
+        assert sum(v * v for v in count.values()) == best
+
+
+def test_entropy():
+    bits, size = secrets.window_entropy("aabbccddeeffgghhiijj" * 2)
+    for k in range(len(bits)):
+        part = ("aabbccddeeffgghhiijj" * 2)[k:k + size]
+        p = np.array(list(collections.Counter(part).values())) / size
+        assert abs(bits[k] + (p * np.log2(p)).sum()) < 1e-9
+    found = lambda t: [t[a:z] for a, z in secrets.entropy_spans(t)]
+    assert found("key q8Zr2LxT9vWm4KpB7nYd3HsF here") == ["q8Zr2LxT9vWm4KpB7nYd3HsF"]
+    assert not found("an ordinaryverylongwordwithoutdigits and snake_case_name_of_things_2 and 123456789012345678901234")
+    assert not found("id 123e4567-e89b-12d3-a456-426614174000 and sha256:9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08")
+
+
+def test_secrets(spark, texts):
+    patterns = {"assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m.group(2)) >= 12),
+                "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 18), "hex": (re.compile(r"[0-9a-f]+"), lambda m: len(m.group()) >= 16)}
+    for r in queries.QUERIES["op9_entropy"](spark, DATA).collect():
+        own = {k: [m.span() for m in p.finditer(texts[r.doc_id]) if ok(m)] for k, (p, ok) in patterns.items()}
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(len(v) for v in own.values())
+        assert {f"{k}:{a}:{z}" for k, v in own.items() for a, z in v} <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize("text, kind, span", [
+    ("write to john dot doe at mail4 dot example dot com now", "email", "john dot doe at mail4 dot example dot com"),
+    ("mail jane(at)mail.example(dot)com ok", "email", "jane(at)mail.example(dot)com"),
+    ("call plus one five five five one two three four five six seven please", "phone", "plus one five five five one two three four five six seven"),
+    ("card four one one one one one one one one one one one one one one one end", "card", "four" + " one" * 15),
+    ("ip one nine two dot one six eight dot one dot one end", "ip", "one nine two dot one six eight dot one dot one"),
+    ("jоhn@mаil.example.com", "email", "jоhn@mаil.example.com"), ("+​1 (017) 555-7713", "phone", "+​1 (017) 555-7713")])
+def test_disguises(text, kind, span):
+    base = pii.base_spans(text)
+    assert [(k, text[a:z]) for k, a, z in pii.added_spans(text, base)] == [(kind, span)]
+
+
+def test_plain_prose_has_no_disguise():
+    for t in ["we meet at home. Dot is here at noon", "one two three go", "look at this dot on the map", "an email a@b.example.org at home", "un deux trois nous irons au bois"]:
+        assert pii.added_spans(t, pii.base_spans(t)) == []
+
+
+def test_classifier(spark, duck):
+    got = {r.doc_id: r.kept for r in queries.QUERIES["op6_weak_labels"](spark, DATA).collect()}
+    labels = duck.execute("SELECT doc_id, quality FROM labels").fetchall()
+    good, bad = [got[d] for d, q in labels if q], [got[d] for d, q in labels if not q]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
+    share, table = quality.expectation_maximisation(np.zeros((0, 3), np.int64), np.zeros(0))
+    assert 0 < share < 1 and np.isfinite(table).all()
+
+
+def test_hash_blocks():
+    import pyarrow as pa
+    texts = ["a b", None, "", "c" * 100, "d e f"]
+    got = [(i, [bytes(data[a:z]).decode() for a, z in zip(o, o[1:])]) for i, data, o in hashing.blocks(pa.array(texts), limit=50)]
+    assert [t for _, part in got for t in part] == [t or "" for t in texts] and len(got) > 1
