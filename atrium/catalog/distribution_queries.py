@@ -37,34 +37,41 @@ CTE["kid_draws"] = """SELECT s, set_id, vec FROM (SELECT s, set_id, vec, row_num
   WHERE rn <= (SELECT least(500, min(n)) FROM (SELECT count(*) AS n FROM features GROUP BY set_id))"""
 
 
-@query("kid", """WITH p AS (SELECT a.s, a.set_id AS x, b.set_id AS y, sum(pow(list_dot_product(a.vec, b.vec) * 64 / 64 + 1, 3)) AS k FROM kid_draws a JOIN kid_draws b ON a.s = b.s AND a.set_id <= b.set_id GROUP BY ALL),
-  t AS (SELECT s, set_id, count(*) AS m, sum(pow(list_dot_product(vec, vec) * 64 / 64 + 1, 3)) AS tr FROM kid_draws GROUP BY ALL),
+@query("kid", """WITH p AS (SELECT a.s, a.set_id AS x, b.set_id AS y, sum(pow(list_dot_product(a.vec, b.vec) / 64 + 1, 3)) AS k FROM kid_draws a JOIN kid_draws b ON a.s = b.s AND a.set_id <= b.set_id GROUP BY ALL),
+  t AS (SELECT s, set_id, count(*) AS m, sum(pow(list_dot_product(vec, vec) / 64 + 1, 3)) AS tr FROM kid_draws GROUP BY ALL),
   v AS (SELECT g.s, (a.k - g.tr) / (g.m * (g.m - 1)) + (b.k - r.tr) / (r.m * (r.m - 1)) - 2 * c.k / (g.m * r.m) AS kid FROM t g JOIN t r ON g.s = r.s AND g.set_id = 'gen' AND r.set_id = 'real'
     JOIN p a ON a.s = g.s AND a.x = 'gen' AND a.y = 'gen' JOIN p b ON b.s = g.s AND b.x = 'real' AND b.y = 'real' JOIN p c ON c.s = g.s AND c.x = 'gen' AND c.y = 'real')
-  SELECT round(avg(kid), 6) AS kid, round(stddev_pop(kid), 6) AS kid_std, count(*) AS n_subsets FROM v""")
+  SELECT round(avg(kid), 10) AS kid, round(stddev_pop(kid), 10) AS kid_std, count(*) AS n_subsets FROM v""")
 def kid(t):
-    """Features are scaled by 8 per side, otherwise the cubic kernel of such short vectors is almost constant."""
-    k = D.kid(t.features, "set_id", "gen", "real", 50, 500, 64.0)
-    return k.agg(F.round(F.avg("kid"), 6).alias("kid"), F.round(F.stddev_pop("kid"), 6).alias("kid_std"), F.count(lit(1)).alias("n_subsets"))
+    k = D.kid(t.features, "set_id", "gen", "real", 50, 500)
+    return k.agg(F.round(F.avg("kid"), 10).alias("kid"), F.round(F.stddev_pop("kid"), 10).alias("kid_std"), F.count(lit(1)).alias("n_subsets"))
 
 
 CTE["role_dims"] = """SELECT CASE WHEN label >= 5 THEN 'gen' WHEN f.vec_id % 2 = 0 THEN 'ref' ELSE 'floor' END AS role, k, v FROM feat_dims d JOIN features f ON d.vec_id = f.vec_id"""
 
 
-@query("floor_score", """WITH m AS (SELECT role, k, avg(v) AS mu, var_samp(v) AS var FROM role_dims GROUP BY ALL),
+CTE["floor_share"] = "SELECT avg((g.vec_id + 1 IN (SELECT vec_id FROM features WHERE set_id = 'real'))::INT) >= 0.9 AS same FROM features g WHERE set_id = 'gen'"
+
+
+@query("floor_score", """WITH r AS (SELECT vec_id, CASE WHEN set_id = 'gen' THEN 'gen' WHEN CASE WHEN (SELECT same FROM floor_share) THEN vec_id - 1 IN (SELECT vec_id FROM features WHERE set_id = 'gen') ELSE vec_id % 2 = 1 END
+    THEN 'floor' ELSE 'ref' END AS role FROM features),
+  m AS (SELECT role, k, avg(v) AS mu, var_samp(v) AS var FROM feat_dims d JOIN r ON d.vec_id = r.vec_id GROUP BY ALL),
   s AS (SELECT a.role, sum((a.mu - b.mu) * (a.mu - b.mu) + a.var + b.var - 2 * sqrt(a.var * b.var)) AS f FROM m a JOIN m b ON a.k = b.k AND b.role = 'ref' WHERE a.role <> 'ref' GROUP BY a.role)
-  SELECT round(max(f) FILTER (role = 'gen'), 9) AS fid, round(max(f) FILTER (role = 'floor'), 9) AS fid_floor, CASE WHEN (SELECT avg((g.vec_id + 1 IN (SELECT vec_id FROM features WHERE set_id = 'real'))::INT) FROM features g WHERE set_id = 'gen') >= 0.9
+  SELECT round(max(f) FILTER (role = 'gen'), 9) AS fid, round(max(f) FILTER (role = 'floor'), 9) AS fid_floor, CASE WHEN (SELECT same FROM floor_share)
     THEN 'GT of the same inputs' ELSE 'random real plans' END AS floor FROM s""")
 def floor_score(t):
-    """Generated and floor sets scored against the same reference; the floor is the real plans of the same inputs
-    when at least 90 % of the generated plans have one, otherwise real plans outside the reference."""
-    f = t.features.withColumn("role", F.when(C("set_id") == "gen", "gen").when(C("vec_id") % 2 == 0, "ref").otherwise("floor"))
+    """Generated and floor sets scored against the same reference. The floor set is the real plans of the same inputs, taken
+    out of the reference, when at least 90 % of the generated plans have one; otherwise real plans outside the reference."""
+    gen = t.features.filter("set_id = 'gen'").select((C("vec_id") + 1).alias("vec_id"), lit(1).alias("hit"))
+    real = t.features.filter("set_id = 'real'").select("vec_id", lit(1).alias("known"))
+    share = gen.join(real, "vec_id", "left").agg((F.avg(F.coalesce("known", lit(0))) >= 0.9).alias("same"))
+    f = t.features.join(gen, "vec_id", "left").crossJoin(share)
+    floor = F.when(C("same"), C("hit").isNotNull()).otherwise(C("vec_id") % 2 == 1)
+    f = f.withColumn("role", F.when(C("set_id") == "gen", "gen").when(floor, "floor").otherwise("ref"))
     m = checkpointed(D.moments(f, ["role"]))
     ref = m.filter("role = 'ref'").select("k", "mu", "var")
     sc = lambda r, n: D.frechet_diagonal(m.filter(C("role") == r).drop("role"), ref, []).select(F.round("frechet", 9).alias(n))
-    real = f.filter("set_id = 'real'").select((C("vec_id") - 1).alias("vec_id"), lit(1).alias("hit"))
-    share = f.filter("set_id = 'gen'").join(real, "vec_id", "left").agg(F.avg(F.coalesce("hit", lit(0))).alias("share"))
-    kind = share.select(F.when(C("share") >= 0.9, "GT of the same inputs").otherwise("random real plans").alias("floor"))
+    kind = share.select(F.when(C("same"), "GT of the same inputs").otherwise("random real plans").alias("floor"))
     return sc("gen", "fid").crossJoin(sc("floor", "fid_floor")).crossJoin(kind)
 
 

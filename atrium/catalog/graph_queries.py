@@ -81,7 +81,8 @@ CTE["wl0"] = "SELECT plan_id, idx, " + H60.format("type") + " AS h FROM rooms"
 for _r in (1, 2, 3):
     CTE[f"wl{_r}"] = f"""SELECT n.plan_id, n.idx, {H60.format("n.h || '|' || coalesce(s.s, 0)")} AS h FROM wl{_r - 1} n LEFT JOIN (SELECT e.plan_id, e.a, CAST(sum(w.h % 1099511627776) AS BIGINT) AS s
       FROM adj_sym e JOIN wl{_r - 1} w ON e.plan_id = w.plan_id AND e.b = w.idx GROUP BY ALL) s ON n.plan_id = s.plan_id AND n.idx = s.a"""
-CTE["topo"] = "SELECT plan_id, md5(count(*) || '|' || CAST(sum(h % 1099511627776) AS BIGINT)) AS topology FROM wl3 GROUP BY plan_id"
+CTE["topo"] = f"""SELECT plan_id, md5(count(*) || '|' || CAST(sum(h) AS VARCHAR) || '|' || CAST(sum({H60.format("h || '#'")}) AS VARCHAR)) AS topology
+  FROM wl3 GROUP BY plan_id"""
 
 
 @query("wl_hash", "SELECT * FROM topo")
@@ -96,11 +97,17 @@ def graph_equal(t):
     return I.graph_equal(t.rooms, prog, t.rooms, t.door_edges)
 
 
-@query("graph_edit_distance")
+@query("graph_edit_distance", """WITH g AS (SELECT DISTINCT a.plan_id, a.idx AS i, b.idx AS j FROM gen_rooms a JOIN gen_rooms b ON a.plan_id = b.plan_id AND a.idx < b.idx
+    WHERE least(a.x1, b.x1) - greatest(a.x0, b.x0) + 60 > 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) + 60 > 0
+      AND (least(a.x1, b.x1) - greatest(a.x0, b.x0) + 60) * (least(a.y1, b.y1) - greatest(a.y0, b.y0) + 60) >= 50 * 60),
+  a AS (SELECT plan_id, idx AS i, -1 AS j, type AS what FROM gen_rooms UNION SELECT plan_id, i, j, 'edge' FROM g),
+  b AS (SELECT plan_id, idx AS i, -1 AS j, type AS what FROM rooms UNION SELECT plan_id, least(i, j), greatest(i, j), 'edge' FROM adj)
+  SELECT plan_id, count(*) FILTER (NOT (x AND y)) AS ged FROM (SELECT plan_id, i, j, what, bool_or(s = 1) AS x, bool_or(s = 2) AS y
+    FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, 2 FROM b) GROUP BY ALL) GROUP BY plan_id""")
 def graph_edit_distance(t):
-    """Typed edit distance of generated and real adjacency; NULL where the node budget ends the search."""
+    """Edit size of generated and real adjacency under the room ids that both share."""
     from ..operators.spatial import wall_adjacency
-    return I.edit_distance(t.gen_rooms, wall_adjacency(t.gen_rooms, large=t.large), t.rooms, t.adj)
+    return I.edit_size(t.gen_rooms, wall_adjacency(t.gen_rooms, large=t.large), t.rooms, t.adj)
 
 
 @query("home_graph", """WITH n AS (SELECT s.home, s.storey, r.idx, r.type, s.plan_id FROM storeys s JOIN rooms r ON s.plan_id = r.plan_id)

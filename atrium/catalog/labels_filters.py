@@ -192,20 +192,19 @@ def slug_key(t):
                           F.array_join(tag, "+").alias("tag"))
 
 
-@query("box_relation", """WITH p AS (SELECT a.plan_id, a.idx AS i, b.idx AS j, a.x0 ux0, a.y0 uy0, a.x1 ux1, a.y1 uy1, b.x0 vx0, b.y0 vy0, b.x1 vx1, b.y1 vy1,
-    (a.x0 + a.x1) / 2 AS cx, (a.y0 + a.y1) / 2 AS cy
+# Codes of where a box lies around another, by row (above, beside, below) and column (left, level, right); 5 is around it, 4 inside.
+AROUND = [[0, 3, 8], [2, 4, 7], [1, 6, 9]]
+
+
+@query("box_relation", f"""WITH p AS (SELECT a.plan_id, a.idx AS i, b.idx AS j, a.x0 < b.x0 AND a.x1 > b.x1 AND a.y0 < b.y0 AND a.y1 > b.y1 AS around,
+    a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1 AS inside,
+    (a.x0 + a.x1) / 2 - b.x0 AS from_left, (a.x0 + a.x1) / 2 - b.x1 AS from_right, (a.y0 + a.y1) / 2 - b.y0 AS from_top, (a.y0 + a.y1) / 2 - b.y1 AS from_bottom
   FROM rooms a JOIN rooms b ON a.plan_id = b.plan_id AND a.idx < b.idx
-  WHERE a.x0 - 9 <= b.x1 AND a.x1 + 9 >= b.x0 AND a.y0 - 9 <= b.y1 AND a.y1 + 9 >= b.y0)
-  SELECT plan_id, i, j, CASE WHEN ux0 < vx0 AND ux1 > vx1 AND uy0 < vy0 AND uy1 > vy1 THEN 5
-    WHEN ux0 >= vx0 AND ux1 <= vx1 AND uy0 >= vy0 AND uy1 <= vy1 THEN 4
-    WHEN (cx < vx0 AND cy <= vy0) OR (cx = vx0 AND cy = vy0) THEN 0
-    WHEN vx0 <= cx AND cx < vx1 AND cy <= vy0 THEN 3
-    WHEN (vx1 <= cx AND cy < vy0) OR (cx = vx1 AND cy = vy0) THEN 8
-    WHEN vx1 <= cx AND vy0 <= cy AND cy < vy1 THEN 7
-    WHEN (vx1 < cx AND vy1 <= cy) OR (cx = vx1 AND cy = vy1) THEN 9
-    WHEN vx0 < cx AND cx <= vx1 AND vy1 <= cy THEN 6
-    WHEN (cx <= vx0 AND vy1 < cy) OR (cx = vx0 AND cy = vy1) THEN 1
-    WHEN cx <= vx0 AND vy0 < cy AND cy <= vy1 THEN 2 ELSE 4 END AS relation FROM p""")
+  WHERE a.x0 - 9 <= b.x1 AND a.x1 + 9 >= b.x0 AND a.y0 - 9 <= b.y1 AND a.y1 + 9 >= b.y0),
+  -- a centre on the line of a side is beyond it on that line's half from the side's first corner on, going round
+  q AS (SELECT *, 2 + (from_right > 0 OR (from_right = 0 AND from_bottom <= 0))::INT - (from_left < 0 OR (from_left = 0 AND from_top >= 0))::INT AS col,
+    2 + (from_bottom > 0 OR (from_bottom = 0 AND from_left >= 0))::INT - (from_top < 0 OR (from_top = 0 AND from_right <= 0))::INT AS line FROM p)
+  SELECT plan_id, i, j, CASE WHEN around THEN 5 WHEN inside THEN 4 ELSE ({AROUND})[line][col] END AS relation FROM q""")
 def box_relation(t):
     d = overlap_join(side(t.rooms, "a", ["idx"]), side(t.rooms, "b", ["idx"]), 9, 0, t.large,
                      C("aidx") < C("bidx"), touch=True)
@@ -231,7 +230,7 @@ def plan_spec(t):
         (F.floor(C("h") + 0.5) / 100).alias("height"), (F.floor(C("w") + 0.5) / 100).alias("width"), "room_count", "total_area")
 
 
-# Keyword order of free room names.
+# Keywords of free room names for the given labels, in order of precedence.
 TYPE_WORDS = [("bathroom", ["bath", "wc", "sauna"]), ("closet", ["closet"]), ("living_room", ["living", "lounge", "draw"]),
               ("bedroom", ["bed", "master"]), ("storage", ["store"]), ("study", ["study"]), ("hallway", ["hall", "foyer"])]
 

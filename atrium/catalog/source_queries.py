@@ -53,15 +53,18 @@ def make_sample(t):
 @query("validate_samples", """SELECT p.plan_id::VARCHAR AS id, concat_ws(';', CASE WHEN p.plan_id % 13 = 0 THEN 'bad units' END, CASE WHEN bool_or(pk % 29 = 0) THEN 'type not canonical' END,
   CASE WHEN bool_or(pk % 31 = 0) THEN 'bad polygon' END, CASE WHEN p.plan_id % 17 = 0 THEN 'edge out of range' END) AS problems FROM plans p JOIN rooms r ON p.plan_id = r.plan_id GROUP BY p.plan_id""")
 def validate_samples(t):
-    """Whole plans with planted faults, checked inside Spark; large plans are checked part by part."""
+    """Whole plans with planted faults, checked inside Spark; edge ends of every part refer to the whole plan."""
     room = F.struct(F.when(C("pk") % 29 == 0, "attic").otherwise(C("type")).alias("type"), C("type").alias("type_native"),
                     F.when(C("pk") % 31 == 0, F.slice(S.box_polygon(), 1, 2)).otherwise(S.box_polygon()).alias("polygon"))
     g = t.rooms.groupBy("plan_id", F.floor(C("idx") / S.PART).alias("part")).agg(F.collect_list(room).alias("rooms"))
     d = g.join(t.plans.select("plan_id", C("dataset").alias("source"), "variant"), "plan_id")
-    edge = F.struct(lit(0).cast("long").alias("i"), F.size("rooms").cast("long").alias("j"), lit("door").alias("kind"))
+    d = d.join(g.groupBy("plan_id").agg(F.sum(F.size("rooms")).alias("plan_rooms")), "plan_id")
+    edge = F.struct(lit(0).cast("long").alias("i"), C("plan_rooms").alias("j"), lit("door").alias("kind"))
     s = S.make_samples(d.select("source", "variant", C("plan_id").cast("string").alias("id"), "part", F.when(C("plan_id") % 13 == 0, "ft").otherwise("px").alias("units"), "rooms",
                                 F.struct(F.when(C("plan_id") % 17 == 0, F.array(edge)).otherwise(F.array()).alias("edges")).alias("graph")))
-    bad = s.select("id", S.problems(s).alias("p"))
+    whole = d.groupBy(C("plan_id").cast("string").alias("id")).agg(F.first("plan_rooms").alias("plan_rooms"))
+    s = s.join(whole, "id")
+    bad = s.select("id", S.problems(s, C("plan_rooms")).alias("p"))
     order = ["missing field", "bad units", "type not canonical", "bad polygon", "edge out of range"]
     has = lambda m: F.when(F.max(F.array_contains("p", m)), lit(m))
     return bad.groupBy("id").agg(F.array_join(F.array_compact(F.array(*[has(m) for m in order])), ";").alias("problems"))
@@ -174,7 +177,7 @@ def read_array_archives(t):
     return d.select("plan_id", C("ids").alias("idx"), C("types").alias("type"), *[C("boxes")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
-@query("export_jsonl", """SELECT p.dataset, count(*) AS records, CAST(sum(('0x' || substr(sha256('{"plan_id":' || r.plan_id || ',"idx":' || r.idx || ',"type":"' || r.type || '"}'), 1, 10))::BIGINT) AS BIGINT) AS digest FROM rooms r JOIN plans p ON r.plan_id = p.plan_id GROUP BY p.dataset""")
+@query("export_jsonl", """SELECT p.dataset, count(*) AS records, CAST(sum(('0x' || substr(sha256('{"plan_id":' || r.plan_id || ',"idx":' || r.idx || ',"type":"' || r.type || '"}'), 1, 15))::BIGINT) AS VARCHAR) AS digest FROM rooms r JOIN plans p ON r.plan_id = p.plan_id GROUP BY p.dataset""")
 def export_jsonl(t):
     path = new_path(t.spark, "export")
     d = t.rooms.join(t.plans.select("plan_id", "dataset"), "plan_id").select("dataset", F.to_json(F.struct("plan_id", "idx", "type")).alias("value"))

@@ -94,8 +94,11 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
 def wl_hash(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     """One topology hash per plan from its node labels."""
     lab = wl_labels(nodes, edges, rounds)
-    return lab.groupBy("plan_id").agg(F.sum(F.pmod(F.col("h"), F.lit(2**40))).alias("s"), F.count(F.lit(1)).alias("n")) \
-        .select("plan_id", F.md5(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string"))).alias("topology"))
+    # two exact sums of 60-bit hashes, so that a thousand million topologies stay apart
+    exact = lambda h: F.sum(h.cast("decimal(20,0)")).cast("string")
+    second = hash60(F.concat(F.col("h").cast("string"), F.lit("#")))
+    return lab.groupBy("plan_id").agg(exact(F.col("h")).alias("s"), exact(second).alias("s2"), F.count(F.lit(1)).alias("n")) \
+        .select("plan_id", F.md5(F.concat_ws("|", F.col("n").cast("string"), "s", "s2")).alias("topology"))
 
 
 def infer_round(comp: DataFrame, contact: DataFrame) -> DataFrame:

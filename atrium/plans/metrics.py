@@ -20,7 +20,7 @@ def plan_counts(plans: DataFrame, rooms: DataFrame) -> DataFrame:
 
 def plan_shares(plans: DataFrame, rooms: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Shares of violating rooms per plan. Unconstrained types never violate; metric rules need a known scale."""
-    r = room_attributes(rooms).join(F.broadcast(thresholds), "type", "left")
+    r = room_attributes(rooms).join(thresholds, "type", "left")
     r = r.join(plans.select("plan_id", "scale_known"), "plan_id")
     bad_aspect = F.coalesce(C("aspect") > C("max_aspect"), lit(False)).cast("double")
     known = C("scale_known")

@@ -32,8 +32,8 @@ def check_norms(plans: DataFrame, facts: DataFrame, rules: DataFrame) -> DataFra
     """met / not met / not measured per (plan, rule). Facts fold map-side to one flag before meeting the plan grid."""
     ok = F.when(C("op") == ">=", C("value") >= C("threshold")).when(C("op") == "<=", C("value") <= C("threshold")) \
         .when(C("op") == ">", C("value") > C("threshold")).when(C("op") == "<", C("value") < C("threshold"))
-    m = facts.join(F.broadcast(rules), ["subject", "parameter"]).groupBy("plan_id", "rule").agg(F.min(ok).alias("ok"))
-    grid = plans.select("plan_id").crossJoin(F.broadcast(rules.select("rule", "parameter", "bindingness")))
+    m = facts.join(rules, ["subject", "parameter"]).groupBy("plan_id", "rule").agg(F.min(ok).alias("ok"))
+    grid = plans.select("plan_id").crossJoin(rules.select("rule", "parameter", "bindingness"))
     d = grid.join(m, ["plan_id", "rule"], "left")
     return d.select("plan_id", "rule", "parameter", "bindingness",
                     F.when(C("ok").isNull(), "not measured").when(C("ok"), "met").otherwise("not met").alias("result"))

@@ -39,7 +39,7 @@ def area_percentiles(rooms: DataFrame, by=("dataset", "type")) -> DataFrame:
 def violations(rooms: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Share of rooms per type below area or width, or above aspect; unconstrained types leave the denominator."""
     t = thresholds.withColumnRenamed("type", "type_canonical")
-    r = rooms.join(F.broadcast(t), "type_canonical")
+    r = rooms.join(t, "type_canonical")
     return r.groupBy("dataset", "type").agg(
         F.count(lit(1)).alias("n_rooms"),
         F.avg((C("area_cm2") < C("min_area") * 10000).cast("double")).alias("below_min_area"),

@@ -89,11 +89,19 @@ def nearest_colour(pixels: DataFrame, palette: list[tuple[str, int, int, int]])
     return pixels.withColumn("label", F.array_min(F.array(*opts))["label"])
 
 
+def json_body(text: Column) -> Column:
+    """Text from the first opening brace on, behind an ``Output:`` mark if there is one."""
+    return F.regexp_extract(F.regexp_replace(text, r"(?s)^.*?Output:", ""), r"(?s)\{.*", 0)
+
+
 def json_status(text: Column) -> Column:
-    """json / json_prefix / repaired / unparseable: strict value, value followed by text, last complete object, nothing."""
+    """json / json_prefix / repaired / unparseable: the body is one value, a value followed by text, holds a complete flat
+    object further on, or nothing that can be read."""
     from ..functions.labels import strict_json
-    return (F.when(strict_json(text).isNotNull(), "json").when(F.try_parse_json(text).isNotNull(), "json_prefix")
-            .when(F.regexp_extract(text, r"(\{[^{}]*\})", 1) != "", "repaired").otherwise("unparseable"))
+    body = json_body(text)
+    flat = F.regexp_extract_all(body, lit(r"(\{[^{}]*\})"), lit(1))
+    return (F.when(body == "", "unparseable").when(strict_json(body).isNotNull(), "json").when(F.try_parse_json(body).isNotNull(), "json_prefix")
+            .when(F.exists(flat, lambda x: F.try_parse_json(x).isNotNull()), "repaired").otherwise("unparseable"))
 
 
 def footprint(matrix: Column, bounds: Column) -> Column:

@@ -47,9 +47,10 @@ def nested_rooms(rooms: DataFrame) -> DataFrame:
     return g.select("plan_id", "part", F.transform("rs", lambda x: x["room"]).alias("rooms"))
 
 
-def problems(sample: DataFrame) -> Column:
-    """Reasons a sample breaks the format, empty when it is valid."""
-    n = F.size("rooms")
+def problems(sample: DataFrame, n_rooms: Column | None = None) -> Column:
+    """Reasons a sample breaks the format, empty when it is valid. ``n_rooms`` is the room count of the whole plan, which edge
+    ends refer to; without it a record is taken to be a whole plan."""
+    n = F.size("rooms") if n_rooms is None else n_rooms
     tests = [
         (C("source").isNull() | C("variant").isNull() | C("id").isNull() | C("rooms").isNull(), "missing field"),
         (~F.coalesce(C("units").isin("px", "m"), lit(False)), "bad units"),
@@ -62,7 +63,11 @@ def problems(sample: DataFrame) -> Column:
 
 def write_samples(samples: DataFrame, path: str) -> None:
     """Valid samples partitioned by source and variant, the rest next to them with their reasons."""
-    s = samples.withColumn("problems", problems(samples))
+    key = ["source", "variant", "id"]
+    whole = samples.groupBy(*key).agg(F.sum(F.size("rooms")).alias("plan_rooms"))
+    same = [C(k).eqNullSafe(C(f"w_{k}")) for k in key]
+    s = samples.join(whole.select("plan_rooms", *[C(k).alias(f"w_{k}") for k in key]), same).drop(*[f"w_{k}" for k in key])
+    s = s.withColumn("problems", problems(s, C("plan_rooms"))).drop("plan_rooms")
     s.filter(F.size("problems") == 0).drop("problems").write.mode("overwrite").partitionBy("source", "variant").parquet(f"{path}/valid")
     s.filter(F.size("problems") > 0).write.mode("overwrite").parquet(f"{path}/quarantine")
 
@@ -109,9 +114,10 @@ def svg_points(col: Column) -> Column:
 
 
 def digest(df: DataFrame, body: Column, by: list[str]) -> DataFrame:
-    """Record count and an order-free digest (sum of 40-bit record hashes), so no task ever holds the whole body."""
-    h = F.conv(F.substring(F.sha2(body, 256), 1, 10), 16, 10).cast("long")
-    return df.groupBy(*by).agg(F.count(lit(1)).alias("records"), F.sum(h).alias("digest"))
+    """Record count and an order-free digest, so no task ever holds the whole body: the exact sum, in decimal digits, of the
+    first 60 bits of every record's SHA-256. (A digest of the whole body, in order, would need it in one place.)"""
+    h = F.conv(F.substring(F.sha2(body, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.groupBy(*by).agg(F.count(lit(1)).alias("records"), F.sum(h).cast("string").alias("digest"))
 
 
 def missing_only(keys: DataFrame, cache: DataFrame, key: str) -> DataFrame:

@@ -6,26 +6,28 @@ ROOM_TYPES = [
     "storage", "corridor", "garage", "laundry", "closet", "outdoor", "other",
 ]
 
-# Canonical type -> normalised labels that mean it.
-ALIASES = {
-    "living_room": "living_room livingroom living lounge draw_room drawing_room family_room livingroom_kitchen",
-    "kitchen": "kitchen kitchen_dining",
-    "bedroom": "bedroom master_room masterroom second_room secondroom child_room childroom elder_room elderroom "
-               "guest_room guestroom master_bedroom",
-    "bathroom": "bathroom bath toilet wc restroom sauna",
-    "balcony": "balcony terrace loggia",
-    "entrance": "entrance entry foyer hall",
-    "dining_room": "dining_room diningroom dining",
-    "study": "study studyroom study_room office library",
-    "storage": "storage store_room storeroom utility technical_room",
-    "corridor": "corridor hallway passage",
-    "garage": "garage carport",
-    "laundry": "laundry laundry_room",
-    "closet": "closet wardrobe walk_in_closet dressing_room",
-    "outdoor": "outdoor garden yard patio",
-    "other": "other undefined unknown room",
+# Normalised label -> canonical type.
+ALIAS_TO_TYPE = {
+    "living_room": "living_room", "livingroom": "living_room", "living": "living_room", "lounge": "living_room", "draw_room":
+    "living_room", "drawing_room": "living_room", "family_room": "living_room", "livingroom_kitchen": "living_room",
+    "kitchen": "kitchen", "kitchen_dining": "kitchen",
+    "bedroom": "bedroom", "master_room": "bedroom", "masterroom": "bedroom", "second_room": "bedroom", "secondroom": "bedroom",
+    "child_room": "bedroom", "childroom": "bedroom", "elder_room": "bedroom", "elderroom": "bedroom", "guest_room": "bedroom",
+    "guestroom": "bedroom", "master_bedroom": "bedroom",
+    "bathroom": "bathroom", "bath": "bathroom", "toilet": "bathroom", "wc": "bathroom", "restroom": "bathroom", "sauna":
+    "bathroom",
+    "balcony": "balcony", "terrace": "balcony", "loggia": "balcony",
+    "entrance": "entrance", "entry": "entrance", "foyer": "entrance", "hall": "entrance",
+    "dining_room": "dining_room", "diningroom": "dining_room", "dining": "dining_room",
+    "study": "study", "studyroom": "study", "study_room": "study", "office": "study", "library": "study",
+    "storage": "storage", "store_room": "storage", "storeroom": "storage", "utility": "storage", "technical_room": "storage",
+    "corridor": "corridor", "hallway": "corridor", "passage": "corridor",
+    "garage": "garage", "carport": "garage",
+    "laundry": "laundry", "laundry_room": "laundry",
+    "closet": "closet", "wardrobe": "closet", "walk_in_closet": "closet", "dressing_room": "closet",
+    "outdoor": "outdoor", "garden": "outdoor", "yard": "outdoor", "patio": "outdoor",
+    "other": "other", "undefined": "other", "unknown": "other", "room": "other",
 }
-ALIAS_TO_TYPE = {a: t for t, names in ALIASES.items() for a in names.split()}
 
 # Minimum area (m2), minimum clear width (m), maximum aspect (None = unconstrained) per type.
 THRESHOLDS = [
