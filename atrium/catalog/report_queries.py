@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.ranking import hash_order, top_k
+from ..plans import distribution as D
 from ..plans import norms as K
 from ..plans import report as B
 from ..plans import stats as T
+from ..session import checkpointed
 from ..vocab import STAT_TYPES
 from .aggregate_queries import R9, pairs, rule_rows, srooms, tedges
 from .base import CTE, query
@@ -94,16 +96,35 @@ def variant_means(t):
         F.count(lit(1)).alias("n"), F.round(F.avg(C("any_rule").cast("int")), 6).alias("any_rule_violation"), F.round(F.avg("overlap_ratio"), 6).alias("overlap_ratio"))
 
 
-CTE["scale_rows"] = "SELECT variant, dataset AS ref, avg(n) AS fid, avg(n) FILTER (scale_known) AS fid_floor, count(*) AS n FROM plans p JOIN plan_n k ON p.plan_id = k.plan_id GROUP BY ALL"
+CTE["method_feats"] = """SELECT f.plan_id, f.role, p.variant, p.dataset AS ref, unnest(range(3)) AS k, unnest([n::DOUBLE, total, bedrooms::DOUBLE]) AS v FROM (
+    SELECT plan_id, 'gen' AS role, count(*) AS n, sum((x1 - x0) * (y1 - y0)) / 10000 AS total, count(*) FILTER (type = 'bedroom') AS bedrooms FROM gen_rooms GROUP BY plan_id
+    UNION ALL SELECT plan_id, CASE WHEN plan_id % 2 = 0 THEN 'ref' ELSE 'floor' END, count(*), sum((x1 - x0) * (y1 - y0)) / 10000, count(*) FILTER (type = 'bedroom') FROM rooms GROUP BY plan_id) f
+  JOIN plans p ON f.plan_id = p.plan_id"""
+CTE["method_scores"] = """WITH g AS (SELECT variant, ref, k, avg(v) AS mu, var_samp(v) AS var FROM method_feats WHERE role = 'gen' GROUP BY ALL),
+  r AS (SELECT ref, role, k, avg(v) AS mu, var_samp(v) AS var FROM method_feats WHERE role <> 'gen' GROUP BY ALL),
+  a AS (SELECT g.variant, g.ref, sum((g.mu - r.mu) ** 2 + g.var + r.var - 2 * sqrt(g.var * r.var)) AS fid FROM g JOIN r ON g.ref = r.ref AND g.k = r.k AND r.role = 'ref' GROUP BY ALL),
+  b AS (SELECT x.ref, sum((x.mu - r.mu) ** 2 + x.var + r.var - 2 * sqrt(x.var * r.var)) AS fid_floor FROM r x JOIN r ON x.ref = r.ref AND x.k = r.k AND x.role = 'floor' AND r.role = 'ref' GROUP BY ALL)
+  SELECT a.variant, a.ref, fid, fid_floor FROM a JOIN b ON a.ref = b.ref"""
 
 
 def score_rows(t):
-    n = t.rooms.groupBy("plan_id").agg(F.count(lit(1)).alias("rooms"))
-    return t.plans.join(n, "plan_id").groupBy("variant", C("dataset").alias("ref")).agg(
-        F.avg("rooms").alias("fid"), F.avg(F.when(C("scale_known"), C("rooms"))).alias("fid_floor"), F.count(lit(1)).alias("n"))
-
-
-@query("compare_methods", """SELECT s.variant, s.ref, round(fid, 6) AS fid, round(fid_floor, 6) AS fid_floor, round(fid - fid_floor, 6) AS fid_minus_floor, v.any_rule_violation FROM scale_rows s JOIN variant_means v ON s.variant = v.variant AND s.ref = v.ref""")
+    """Diagonal Frechet distance of plan features (rooms, area, bedrooms) of every (variant, reference) from half of the
+    reference's real plans, and of the other half from it."""
+    def vectors(rooms):
+        area = (C("x1") - C("x0")) * (C("y1") - C("y0"))
+        f = rooms.groupBy("plan_id").agg(F.count(lit(1)).alias("n"), (F.sum(area) / 10000).alias("total"), F.count_if(C("type") == "bedroom").alias("bedrooms"))
+        f = f.join(t.plans.select("plan_id", "variant", C("dataset").alias("ref")), "plan_id")
+        return f.select("plan_id", "variant", "ref", F.array(C("n").cast("double"), C("total"), C("bedrooms").cast("double")).alias("vec"))
+    real = vectors(t.rooms).withColumn("role", F.when(C("plan_id") % 2 == 0, "ref").otherwise("floor"))
+    m = checkpointed(D.moments(real, ["ref", "role"]))
+    ref = m.filter("role = 'ref'").drop("role")
+    gen = checkpointed(D.moments(vectors(t.gen_rooms), ["variant", "ref"]))
+    fid = D.frechet_diagonal(gen, ref.join(gen.select("variant", "ref").distinct(), "ref"), ["variant", "ref"]).withColumnRenamed("frechet", "fid")
+    floor = D.frechet_diagonal(m.filter("role = 'floor'").drop("role"), ref, ["ref"]).withColumnRenamed("frechet", "fid_floor")
+    return fid.join(floor, "ref")
+
+
+@query("compare_methods", """SELECT s.variant, s.ref, round(fid, 6) AS fid, round(fid_floor, 6) AS fid_floor, round(fid - fid_floor, 6) AS fid_minus_floor, v.any_rule_violation FROM method_scores s JOIN variant_means v ON s.variant = v.variant AND s.ref = v.ref""")
 def compare_methods(t):
     """One row per (variant, reference): score, floor, their difference, rule share."""
     d = B.minus_floor(score_rows(t)).join(variant_means(t).select("variant", "ref", "any_rule_violation"), ["variant", "ref"])

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..operators import spatial
 from ..operators.ranking import rank_within
-from ..session import large_groups
+from .. import session
+from ..session import large_groups, new_path
 from ..vocab import ROOM_TYPES
 
 _LARGE: dict = {}
+_KEPT: dict = {}
 
 # Native labels cycled over the parts; one entry per spelling variant the label functions must handle.
 NATIVE_LABELS = ["Living-Room", " MasterRoom ", "WC", "walk in closet", "???", "Draw Room", "Hallway", "carport",
@@ -36,16 +38,38 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @cached_property
+    def version(self) -> tuple:
+        """The application and the files that the plan tables come from: what is kept holds for just these."""
+        files = []
+        for name in ("lineitem", "orders"):
+            f = self.raw(name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+            files += sorted(tuple(map(str, r)) for r in f.collect())
+        return (self.spark.sparkContext.applicationId, session.GROUP_LIMIT, *files)
+
+    def kept(self, name: str, build) -> DataFrame:
+        """A table that many steps read: built once per application and version, as Parquet in the shared folder."""
+        key = (*self.version, name)
+        if key not in _KEPT:
+            path, df = new_path(self.spark, name), build()
+            df.write.parquet(path)
+            _KEPT[key] = (path, df.schema)
+        path, schema = _KEPT[key]
+        return self.spark.read.schema(schema).parquet(path)
+
     @cached_property
     def large(self) -> DataFrame | None:
-        """Plans too big for per-plan work, found once per data directory."""
-        key = (self.spark.sparkContext.applicationId, self.path)
+        """Plans too big for per-plan work, found once per version of the data."""
+        key = self.version
         if key not in _LARGE:
             _LARGE[key] = large_groups(self.raw("lineitem").select(F.col("l_orderkey").alias("plan_id")), ["plan_id"])
         return _LARGE[key]
 
     @cached_property
     def rooms(self) -> DataFrame:
+        return self.kept("rooms", self._rooms)
+
+    def _rooms(self) -> DataFrame:
         li = self.raw("lineitem").select(
             F.col("l_orderkey").alias("plan_id"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
             F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("ln"),
@@ -124,18 +148,18 @@ class Tables:
 
     @cached_property
     def large_homes(self) -> DataFrame | None:
-        key = (self.spark.sparkContext.applicationId, self.path, "home")
+        key = (*self.version, "home")
         if key not in _LARGE:
             _LARGE[key] = large_groups(self.raw("orders").select(F.col("o_custkey").alias("home")), ["home"])
         return _LARGE[key]
 
     @cached_property
     def adj(self) -> DataFrame:
-        return spatial.wall_adjacency(self.rooms, large=self.large).select("plan_id", "i", "j")
+        return self.kept("adj", lambda: spatial.wall_adjacency(self.rooms, large=self.large).select("plan_id", "i", "j"))
 
     @cached_property
     def door_edges(self) -> DataFrame:
-        return spatial.door_edges(self.doors, self.rooms, large=self.large)
+        return self.kept("door-edges", lambda: spatial.door_edges(self.doors, self.rooms, large=self.large))
 
     @cached_property
     def edges(self) -> DataFrame:
