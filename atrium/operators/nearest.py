@@ -9,12 +9,24 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 BLOCK = 4096
+PIVOT_BYTES = 64 << 20  # the pivots are broadcast, so their number is bounded by their size
 
 
 def _matrix(col) -> np.ndarray:
     return np.asarray(col.tolist(), dtype=np.float64)
 
 
+def _slices(m: np.ndarray, pivots: np.ndarray):
+    """Rows in slices whose distances to all pivots stay a few million numbers."""
+    step = max(1, 4_000_000 // max(1, len(pivots)))
+    return [m[s:s + step] for s in range(0, len(m), step)]
+
+
+def _from_pivots(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and pivots as one matrix product."""
+    return (m ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :] - 2 * m @ pivots.T
+
+
 def _closest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
     """Closest candidate (ties: smallest id) of every query among the candidates of one block."""
     qm, cm = _matrix(q["vec"]), _matrix(c["cvec"])
@@ -40,12 +52,13 @@ def nearest_neighbour(df: DataFrame, id_col: str, vec_col: str, n_pivots: int |
     Rows join the cell of their closest pivot. A first pass looks inside the own cell only and gives an upper bound;
     the second pass sends a row just to the cells that could hold something closer (distance to the pivot minus the
     cell's radius below the bound). Cells are cut into hashed blocks, so a crowded cell is many small tasks.
-    Pivots are a hash-ordered sample whose size grows with the square root of the rows, at most 1024: the only
-    table that is broadcast.
+    Pivots are a hash-ordered sample whose size grows with the square root of the rows, up to PIVOT_BYTES of vectors; they
+    and one row per pivot are all that is broadcast.
     """
     d = df.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec"))
     n = d.count()
-    k = n_pivots or int(min(1024, max(1, round(n ** 0.5 / 2))))
+    width = 8 * max(1, d.agg(F.max(F.size("vec"))).first()[0] or 1)
+    k = n_pivots or int(min(max(1, PIVOT_BYTES // width), max(1, round(n ** 0.5 / 2))))
     piv = d.orderBy(F.md5(F.col("id").cast("string"))).limit(k).select("vec").toPandas()
     pm = _matrix(piv["vec"]) if len(piv) else np.zeros((1, 1))
     bc = d.sparkSession.sparkContext.broadcast(pm)
@@ -53,10 +66,9 @@ def nearest_neighbour(df: DataFrame, id_col: str, vec_col: str, n_pivots: int |
     @F.pandas_udf("struct<cell:int,pd:double>")
     def own_cell(v: pd.Series) -> pd.DataFrame:
         m = _matrix(v)
-        dd = np.sqrt(np.maximum(((m[:, None, :] - bc.value[None, :, :]) ** 2).sum(2), 0)) if len(m) < 512 else np.vstack(
-            [np.sqrt(((r - bc.value) ** 2).sum(1)) for r in m])
-        c = dd.argmin(1)
-        return pd.DataFrame({"cell": c.astype("int32"), "pd": dd[np.arange(len(c)), c]})
+        c = np.concatenate([_from_pivots(part, bc.value).argmin(1) for part in _slices(m, bc.value)] or [np.zeros(0, int)])
+        # any pivot will do for a cell, but the distance to it has to be exact
+        return pd.DataFrame({"cell": c.astype("int32"), "pd": np.sqrt(((m - bc.value[c]) ** 2).sum(1)) if len(m) else np.zeros(0)})
 
     d = checkpointed(d.withColumn("c", own_cell("vec")).select("id", "vec", "c.cell", "c.pd"))
     stats = d.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.max("pd").alias("radius"))
@@ -89,12 +101,16 @@ def nearest_neighbour(df: DataFrame, id_col: str, vec_col: str, n_pivots: int |
 
     @F.pandas_udf("array<int>")
     def other_cells(v: pd.Series, cell: pd.Series, ub: pd.Series) -> pd.Series:
-        m, out = _matrix(v), []
-        for row, c, u in zip(m, cell, ub):
-            dist = np.sqrt(((row - bc.value) ** 2).sum(1))
-            ok = (radii.value >= 0) & (dist - radii.value <= u + 1e-9)
-            ok[c] = False
-            out.append(np.flatnonzero(ok).astype("int32"))
+        m, out, done = _matrix(v), [], 0
+        for part in _slices(m, bc.value):
+            own, most = cell.to_numpy()[done:done + len(part)], ub.to_numpy()[done:done + len(part)]
+            # the product form of a squared distance is off by rounding only; the margin covers that
+            margin = 1e-7 * (1 + np.sqrt((part ** 2).sum(1)) + np.sqrt((bc.value ** 2).sum(1)).max())
+            dist = np.sqrt(np.maximum(_from_pivots(part, bc.value) - margin[:, None] ** 2, 0)) - margin[:, None]
+            ok = (radii.value >= 0) & (dist - radii.value <= most[:, None])
+            ok[np.arange(len(part)), own] = False
+            out += [np.flatnonzero(r).astype("int32") for r in ok]
+            done += len(part)
         return pd.Series(out)
 
     b = d.join(bound, "id", "left").na.fill(1e300, ["ub"])

@@ -79,8 +79,9 @@ def quantile_rows(df: DataFrame, keys: list[str], value: str, probs: list[float]
     """
     v = F.col(value).cast("double")
     vals = df.filter(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    mag = F.floor(F.log2(F.abs(F.col("__v")) + 1) * 64)
-    vals = vals.withColumn("__b", F.when(F.col("__v") < 0, -mag - 1).otherwise(mag))
+    # 4,096 buckets an octave: even values that all lie near one another spread over many buckets
+    mag = F.floor(F.log2(F.abs(F.col("__v"))) * 4096) + (1 << 23)
+    vals = vals.withColumn("__b", F.when(F.col("__v") == 0, F.lit(0)).when(F.col("__v") < 0, -mag).otherwise(mag).cast("long"))
     buckets = vals.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
     wb = W.partitionBy(*keys)
     buckets = buckets.select(
