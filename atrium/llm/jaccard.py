@@ -103,6 +103,8 @@ def plausible(df: DataFrame, buckets: int, size: int = SHINGLE) -> DataFrame:
 
     Of the first 2 floor(n/4) + 1 shingles in hash order, a linked partner has floor(ceil(3 n / 4) / 4) + 1 among its own
     first ones. Shingles that two sets of one input block share are counted there and sent on once without owners."""
+    sums = max(1, buckets // 4)  # tasks that add up what the buckets found
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = hashing.SpanHash()
         for b in batches:
@@ -168,10 +170,22 @@ def plausible(df: DataFrame, buckets: int, size: int = SHINGLE) -> DataFrame:
         once = np.r_[True, (group[1:] != group[:-1]) | (who[1:] != who[:-1])][:len(who)]
         key, back = np.unique(np.concatenate([ids.view(np.int64), who[once]]), return_inverse=True)
         total = np.bincount(back, np.concatenate([hits, np.ones(int(once.sum()))])).astype(np.int64)
-        return pa.table({"set_id": key[total > 0], "hits": total[total > 0]})
+        key, total = key[total > 0].view(np.uint64), total[total > 0]
+        key, total = key[order := np.argsort(key)], total[order]
+        part = (key >> np.uint64(32)) * np.uint64(sums) >> np.uint64(32)
+        cuts = np.searchsorted(part, np.arange(sums + 1))
+        used = np.flatnonzero(np.diff(cuts)).tolist()
+        return pa.table({"part": pa.array(used, pa.int64()), "ids": pa.array([key[cuts[k]:cuts[k + 1]].tobytes() for k in used], pa.binary()),
+                         "hits": pa.array([total[cuts[k]:cuts[k + 1]].tobytes() for k in used], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        ids, hits = (np.concatenate([np.frombuffer(v, np.int64) for v in table.column(c).to_pylist()]) for c in ("ids", "hits"))
+        key, back = np.unique(ids, return_inverse=True)
+        return pa.table({"set_id": key, "hits": np.bincount(back, hits).astype(np.int64)})
 
     sent = df.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "bucket long, ids binary, hits binary, tokens binary, refs binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "set_id long, hits long").groupBy("set_id").agg(F.sum("hits").alias("hits"))
+    met = sent.groupBy("bucket").applyInArrow(meet, "part long, ids binary, hits binary")
+    return met.groupBy("part").applyInArrow(add, "set_id long, hits long")
 
 
 def _near(big: DataFrame, narrow: DataFrame, rows: int, on: list[str], how: str = "inner") -> DataFrame:
