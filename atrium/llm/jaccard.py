@@ -9,8 +9,9 @@ rising order. The steps:
 3. ``keyed``: small sets list all pairs of their first shingles (sets that link share two of them); large sets, and small
    ones that a large set can reach, go to inverted lists of single shingles. The boundary minimises the cost counted from
    the sizes and list lengths.
-4. ``placed``: each set joins the family of the set it shares most keys with; families are cut into blocks of bounded size.
-   Within a block every pair of different components is compared.
+4. Each set joins the family of the set it shares most keys with. Families are cut into blocks of bounded size; small ones
+   share blocks with those of the same most common key. Within a block all sets outside its first component are compared
+   with all others.
 5. ``probes``: a set that shares enough keys with another block, where some set is of another, larger component, is
    compared with that block. Smaller components do the probing, so a large group of linked copies is not paired with itself.
 
@@ -344,15 +345,22 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     keys = list_keys(cores, cost_boundary(cores))
     keys = saved(_near(keys, alive.select("set_id", "n", "q"), known, ["set_id"]), "set-keys")
-    hubs = keys.groupBy("key").agg(F.max(F.struct("q", "set_id"))["set_id"].alias("hub"), F.count(F.lit(1)).alias("long")).filter("long > 1").drop("long")
-    shared = keys.join(hubs, "key").groupBy("set_id", "n", "q", "hub").agg(F.count(F.lit(1)).alias("c"))
-    family = shared.groupBy("set_id", "n", "q").agg(F.max(F.struct("c", F.col("hub")))["hub"].alias("family"))
+    lists = keys.groupBy("key").agg(F.max(F.struct("q", "set_id"))["set_id"].alias("hub"), F.count(F.lit(1)).alias("long")).filter("long > 1")
+    shared = keys.join(lists, "key").groupBy("set_id", "n", "q", "hub").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("long", "key")).alias("top"))
+    family = shared.groupBy("set_id", "n", "q").agg(F.max(F.struct("c", "hub"))["hub"].alias("family"), F.max("top")["key"].alias("anchor"))
     family = saved(family, "families")
-    spread = family.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
-    block = F.xxhash64("family", "chunk").alias("block")
+    # families of some size are cut into blocks of their own; small ones share blocks with those of the same most common key
+    sized = family.groupBy("family").agg(F.sum("n").alias("total")).join(family.select(F.col("set_id").alias("family"), "anchor"), "family")
+    sized = saved(sized, "family-sizes")
+    large, small = sized.filter(2 * F.col("total") > BLOCK_SHINGLES), sized.filter(2 * F.col("total") <= BLOCK_SHINGLES)
+    shelves = small.groupBy("anchor").agg(F.ceil(F.sum("total") / BLOCK_SHINGLES).alias("shelves"))
+    shelf = F.xxhash64("anchor", F.pmod(F.xxhash64("family"), "shelves"), F.lit(1)).alias("shelf")
+    spread = large.select("family", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("chunks"), F.lit(None).cast("long").alias("shelf")).union(
+        small.join(shelves, "anchor").select("family", F.lit(1).cast("long"), shelf))
+    block = F.coalesce("shelf", F.xxhash64("family", "chunk")).alias("block")
     home = saved(family.join(spread, "family").withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks")).select("set_id", "n", "q", block), "placed-sets")
     # every block of a family also gets the family's hub, so that what links with it has one label in all of them
-    guests = (spread.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(F.col("family").alias("set_id"), block)
+    guests = (spread.filter(F.col("shelf").isNull()).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(F.col("family").alias("set_id"), block)
               .join(home.select("set_id", "block"), ["set_id", "block"], "left_anti"))
     placed = home.select("set_id", "block", F.lit(False).alias("guest")).union(guests.select("set_id", "block", F.lit(True)))
     placed = placed.join(family.select("set_id", "n", "q"), "set_id")
