@@ -15,4 +15,4 @@ QUERIES = {
     "op9_entropy": secrets.op9_entropy,
     "op10_stupid_backoff": lm.op10_stupid_backoff,
 }
-SQL = {"op2_content_sort": dedup.SQL, "op10_stupid_backoff": lm.SQL}
+SQL = {"op2_content_sort": dedup.SQL, "op4_repetition": repetition.SQL, "op8_heavy_light": jaccard.SQL, "op10_stupid_backoff": lm.SQL}

@@ -116,3 +116,22 @@ def repetition_rules(df: DataFrame, ngram_limits: dict[int, float] = NGRAM_LIMIT
 
 def op4_repetition(spark, sf_dir):
     return repetition_rules(documents(spark, sf_dir))
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT r, i, length(w[i]) AS chars FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+g AS (SELECT r, n, i, count(*) OVER (PARTITION BY r, n, gram) AS times, row_number() OVER (PARTITION BY r, n, gram ORDER BY i) AS k
+      FROM (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (VALUES (5), (8), (10)) v(n)))),
+c AS (SELECT r, n, i, bool_or(k > 1) AS again FROM (SELECT r, n, k, unnest(range(i, i + n)) AS i FROM g WHERE times > 1) GROUP BY ALL),
+s AS (SELECT c.r, count(*) FILTER (n = 5) AS n_repeat_words, sum(chars) FILTER (n = 5 AND again) AS c5, sum(chars) FILTER (n = 8 AND again) AS c8, sum(chars) FILTER (n = 10 AND again) AS c10
+      FROM c JOIN p ON c.r = p.r AND c.i = p.i GROUP BY c.r),
+l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+m AS (SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS chars FROM l WHERE k > 1 GROUP BY r),
+a AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce((SELECT sum(chars) FROM p WHERE p.r = d.r), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(c5, 0) AS BIGINT) AS dup_chars_5, CAST(coalesce(c8, 0) AS BIGINT) AS dup_chars_8,
+      CAST(coalesce(c10, 0) AS BIGINT) AS dup_chars_10, CAST(coalesce(m.chars, 0) AS BIGINT) AS dup_line_chars FROM d LEFT JOIN s ON d.r = s.r LEFT JOIN m ON d.r = m.r)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND dup_chars_5 <= 0.15::DOUBLE * word_chars AND dup_chars_8 <= 0.12::DOUBLE * word_chars AND dup_chars_10 <= 0.1::DOUBLE * word_chars
+       AND dup_line_chars <= 0.2::DOUBLE * word_chars AS kept FROM a
+"""
