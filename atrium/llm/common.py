@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,3 +73,15 @@ def running(df: DataFrame, group: str, by: list, weight: str, name: str) -> Data
                           F.coalesce(F.sum("s").over(w), F.lit(0)).alias("o_s"))
     return (part.join(offsets, ["pid", group])
             .select(*[c for c in df.columns], (F.col("pos") + F.col("o_n")).alias("pos"), (F.col("before") + F.col("o_s")).alias("before")))
+
+
+def placed_rows(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Columns with the file (``row_file``) and place in it (``row_at``) of every row: a key that is the same at every read.
+
+    A table that does not come straight from files is written first."""
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select(*columns, F.xxhash64("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").cast("long").alias("row_at"))
+    try:
+        return keyed(df)
+    except AnalysisException:
+        return keyed(saved(df.select(*columns), name))

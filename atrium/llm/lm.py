@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import documents, saved
+from .common import documents, placed_rows
 
 ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2                 # an n-gram seen once is only its own document's; scores back off from it
 PIECE_ROWS = 4096
-TABLE_GRAMS = 2_000_000       # n-grams that one part of a count table receives, about
+TABLE_GRAMS = 1_000_000       # n-grams that one part of a count table receives, about
+HASH_BITS = np.uint64(0xFFFFFFFFFFFFFF00)  # 56 bits tell n-grams apart: of 10**13 different ones, one in 7,000 meets another
 MICRO = 1_000_000             # scores are sums of rounded millionths of nats, so that they do not depend on the order
 
 
@@ -61,18 +62,14 @@ def grams(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     """Hashes of the n-grams of a piece and the place of their last word."""
     h = hashing.window_hash(words, n)
     at = np.flatnonzero(rows[:len(h)] == rows[n - 1:n - 1 + len(h)])
-    return h[at], at + n - 1
+    return h[at] & HASH_BITS, at + n - 1
 
 
 def _pieces(df: DataFrame) -> DataFrame:
     """doc_id, text, and the piece and place of every row, stable over reads: the rows of a file in runs of PIECE_ROWS."""
-    try:
-        placed = df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    except Exception:  # not read from files: write it first
-        kept = saved(df.select("doc_id", "text"), "lm-documents")
-        placed = kept.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    placed = placed_rows(df, ["doc_id", "text"], "lm-documents")
     return placed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                         F.xxhash64("file", F.floor(F.col("at") / PIECE_ROWS)).alias("piece"), F.col("at").cast("long").alias("at"))
+                         F.xxhash64("row_file", F.floor(F.col("row_at") / PIECE_ROWS)).alias("piece"), F.col("row_at").alias("at"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]):
@@ -97,7 +94,7 @@ def backoff_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF,
     A word's score is log(c(n-gram) / c(its first n - 1 words)) for the longest n-gram up to ``order`` that the corpus holds
     ``min_count`` times, times the backoff factor for every order given up; single words score c / all words. A document's
     first words have shorter contexts and no penalty for them. Null and empty texts have no words and score 0; repeated rows
-    are documents of their own and count as such; an empty table gives no rows. n-grams are compared by 64-bit hashes."""
+    are documents of their own and count as such; an empty table gives no rows. n-grams are compared by 56-bit hashes."""
     source = _pieces(df)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +142,7 @@ def backoff_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF,
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [held[0].column(2).slice(0, 1), held[0].column(3).slice(0, 1), pa.array([len(texts)], pa.int64()), pa.array([len(raw)], pa.int64()),
-                 *[pa.array([v], pa.binary()) for v in (ids.fill_null(0).to_numpy().tobytes(), known.tobytes(), lengths.tobytes(), pa.compress(raw, codec="zstd", asbytes=True))]],
+                 *[pa.array([v], pa.binary()) for v in (ids.fill_null(0).to_numpy().tobytes(), known.tobytes(), lengths.tobytes(), pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True))]],
                 names=["b_piece", "b_at", "rows", "bytes", "ids", "known", "lengths", "texts"])
 
     names = ["doc_id", "n_words", "score_micro", *[f"used_{n}" for n in range(1, order + 1)]]
