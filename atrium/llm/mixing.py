@@ -6,7 +6,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, running, saved
+from .common import SPACE, documents, partitions, placed_rows, running, saved
 
 # Parameters of the registered mix: weights by rank of source, demand in relation to all sizes, most passes over a source.
 WEIGHTS = (3, 1, 2)
@@ -67,8 +67,7 @@ def curriculum(df: DataFrame, weights=WEIGHTS, demand=DEMAND, passes=PASSES, sch
     Null text has size 0, null source is a source; repeated rows are documents of their own; empty tables give no rows."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"),
                      F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("rest"))
-    if not carry:
-        docs = saved(docs, "mix-sizes")
+    docs = saved(docs, "mix-sizes")
     sizes = saved(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     goal = saved(targets(sizes, weights, demand, passes), "mix-targets")
     coded = (docs.withColumnRenamed("source", "src").join(goal, F.col("src").eqNullSafe(F.col("source"))).drop("src", "source")
@@ -92,13 +91,21 @@ def curriculum(df: DataFrame, weights=WEIGHTS, demand=DEMAND, passes=PASSES, sch
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents in training order: one row per document and pass; the last document of a source may be cut
-    at a word end. Documents that the mix does not take go; documents without words stay once."""
-    mix = curriculum(docs, carry=tuple(docs.columns)).filter((F.col("take") > 0) | ((F.col("size") == 0) & (F.col("pass") == 0)))
-    cut = F.when(F.col("take") < F.col("size"), first_words(F.col("in_text"), F.col("take"))).otherwise(F.col("in_text"))
-    out = {c: F.col(f"in_{c}") for c in docs.columns} | {"text": cut}
+    at a word end. Documents that the mix does not take go; documents without words stay once.
+
+    The mix is planned on narrow rows with a key for every row; texts move for the join and for the final order only."""
+    spark, key = docs.sparkSession, ["row_file", "row_at"]
+    rows = placed_rows(docs, docs.columns, "mix-documents")
+    mix = curriculum(rows, carry=tuple(key)).filter((F.col("take") > 0) | ((F.col("size") == 0) & (F.col("pass") == 0)))
+    plan = saved(mix.select(*[F.col(f"in_{k}").alias(k) for k in key], F.struct("take", "size", "position").alias("mixed_as")), "mix-plan")
+    whole = rows.select(F.struct(*docs.columns).alias("row"), *key).join(plan, key)
+    ordered = whole.repartitionByRange(partitions(spark), "mixed_as.position").sortWithinPartitions("mixed_as.position")
+    cut = F.col("mixed_as.take") < F.col("mixed_as.size")
+    text = F.when(cut, first_words(F.col("row.text"), F.col("mixed_as.take"))).otherwise(F.col("row.text"))
+    out = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("take") < F.col("size"), F.length(cut).cast("long")).otherwise(F.col("in_n_chars"))
-    return mix.select(*[out[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+        out["n_chars"] = F.when(cut, F.length(text)).otherwise(out["n_chars"])
+    return ordered.select(*[out[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def first_words(text, count):
