@@ -21,6 +21,7 @@ from .repetition import sums, text_counts
 
 SAMPLE = 4000        # documents that the scorer is fitted on, at most
 BUCKETS = 4096       # hashed features
+FEATURE_BYTES = 1 << 19  # bytes of text whose features a task holds at a time
 THRESHOLD = 0.4      # least score of a document that stays: in doubt it does
 BAD, ABSTAIN, GOOD = 0, 1, 2
 # Very common words of English, German, French and Spanish.
@@ -135,7 +136,7 @@ def weak_label_scores(df: DataFrame, sample: int = SAMPLE, threshold: float = TH
 
     def parts(column):
         hasher = hashing.SpanHash()
-        for i, data, offsets in hashing.blocks(column):
+        for i, data, offsets in hashing.blocks(column, FEATURE_BYTES):
             s = statistics(data, offsets, hasher)
             yield i, data, offsets, s, votes(s)
 
