@@ -73,13 +73,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows of a block that can hold a span: long runs of key characters, or one of the words in either case."""
+    """Rows of a block that can hold a span: long runs of key characters (none crosses rows), or one of the words in either case."""
     rows = np.zeros(len(offsets) - 1, bool)
     letters = np.zeros(256, bool)
     letters[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-"]] = True
     inside = letters[data]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edge[::2], edge[1::2]
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    cut = offsets[1:-1]
+    cut = cut[(cut > 0) & (cut < len(data))]
+    begin[cut] |= inside[cut]
+    end[cut - 1] |= inside[cut - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     hits = starts[ends - starts >= 16]
     raw = hashing.lower_ascii(data).tobytes()
     more = [m.start() for w in (*WORDS, b"akia") for m in re.finditer(re.escape(w), raw)]
