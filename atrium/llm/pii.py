@@ -40,11 +40,15 @@ CHARACTER = {x: latin for latin, likes in LOOKALIKES.items() for x in likes} | {
 ODD = re.compile("[" + "".join(map(re.escape, CHARACTER)) + "]")
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _DIGIT = rf"(?:{_WORD}(?![^\W_])|[0-9])"
-_GAP = r"(?:[\s,;-]+|(?<=[0-9])(?=[0-9]))"
-_STOP = r"(?:[\s,;]*(?:\.|\bdot\b|\bpunkt\b|\bpoint\b|\bpunto\b)[\s,;]*)"
-# Seven digits or more, of which some are spelled; IP addresses have four groups with three stops.
+_GAP = r"(?:[\s,;()-]+|(?<=[0-9]))"
+_BRACKET_DOT = r"[\(\[\{<]\s*(?:\.|dot|punkt|point|punto)\s*[\)\]\}>]"
+_SPOKEN_DOT = r"(?<![^\W\d_])(?:dot|punkt|point|punto)(?![^\W\d_])"
+_STOP = rf"(?:[\s,;]*(?:{_BRACKET_DOT}|\.|{_SPOKEN_DOT})[\s,;]*)"
+# Runs of digits, spelled or not, with gaps and stops between them.
 SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus\s+|\+\s*))?{_DIGIT}(?:(?:{_GAP}|{_STOP}){_DIGIT})+", re.IGNORECASE)
-TOKEN = re.compile(rf"(?P<word>{_WORD})(?![^\W_])|(?P<digit>[0-9])|(?P<plus>plus\b|\+)|(?P<stop>\.|\b(?:dot|punkt|point|punto)\b)|(?P<gap>[\s,;-]+)", re.IGNORECASE)
+TOKEN = re.compile(rf"(?P<word>{_WORD})(?![^\W_])|(?P<digit>[0-9]+)|(?P<plus>plus\b|\+)|(?P<stop>{_STOP})|(?P<gap>[\s,;()-]+)", re.IGNORECASE)
+SPOKEN = re.compile(r"[^\W\d_]|[\(\[\{<]\s*\.")
+WIDE = re.compile(r"[^\x20-]")
 AT = r"(?:\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*|\s+at\s+|\s*@\s*)"
 DOT = r"(?:\s*[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]\s*|\s+dot\s+|\.)"
 _NAME = r"[A-Za-z0-9_%+-]+"
@@ -94,17 +98,92 @@ class Rewritten:
         return self.starts[a], self.ends[z - 1]
 
 
+def ip_ranges(tokens: list[tuple]) -> list[tuple[int, int]]:
+    """Token ranges (first, end) of four groups of digits up to 255 with three stops, of which a digit or a stop is spelled or bracketed.
+
+    Digits of a group may stand apart (one nine two); the outer groups take what lies nearest to their stop. A full stop
+    with white space on one side only ends a sentence, unless the run has two spelled digits and seven in all."""
+    groups, stops = [[]], []
+    for at, (kind, _, _, s, _) in enumerate(tokens):
+        if kind in ("word", "digit"):
+            groups[-1].append(at)
+        elif kind == "stop":
+            stops.append(s)
+            groups.append([])
+    value = lambda part: "".join(tokens[t][4] for t in sorted(part))
+    gap = lambda t, u: "".join(x[3] for x in tokens[min(t, u) + 1:max(t, u)])
+    small = lambda part: part and int(value(part)[-4:]) <= 255 and not value(part)[:-4].strip("0")
+    fits = lambda part: small(part) and (len(part) == 1 or len(value(part)) <= 3)
+    loose = sum(x[0] == "word" for x in tokens) >= 2 and sum(len(x[4]) for x in tokens) >= 7
+
+    def near(group, wide):
+        part = group[:1]
+        for t in group[1:]:
+            alike = tokens[t][0] == tokens[part[-1]][0] and len(tokens[t][4]) == len(tokens[part[-1]][4]) == 1
+            if not alike or not fits([*part, t]) or not wide and WIDE.search(gap(part[-1], t)):
+                break
+            part.append(t)
+        return part
+
+    out, i = [], 0
+    while i + 4 <= len(groups):
+        inner, between = groups[i + 1:i + 3], stops[i:i + 3]
+        wide = any(WIDE.search(gap(t, u)) for g in inner for t, u in zip(g, g[1:]))
+        head, tail = near(groups[i][::-1], wide), near(groups[i + 3], wide)
+        all_four = loose and len(groups) == 4 and all(map(small, groups))
+        if all_four:
+            head, tail = groups[0], groups[3]
+        clear = all(s.strip() != "." or s == "." or s[0] != "." and s[-1] != "." for s in between)
+        marked = any(SPOKEN.search(s) for s in between) or any(tokens[t][0] == "word" for g in (head, *inner, tail) for t in g)
+        if (all_four or all(fits(g) for g in (head, *inner, tail))) and marked and (clear or loose):
+            out.append((min(head), tail[-1] + 1))
+            i += 4
+        else:
+            i += 1
+    return out
+
+
+def number_ranges(tokens: list[tuple], first: int, end: int) -> list[tuple[int, int]]:
+    """Token ranges within (first, end) that are a card or phone number: all of it, or else a part between wide gaps."""
+    def passes(a, z):
+        d = "".join(t[4] for t in tokens[a:z])
+        spoken = any(k == "word" or k in ("plus", "stop") and SPOKEN.search(s) for k, _, _, s, _ in tokens[a:z])
+        return spoken and (tokens[a][0] == "plus" and 8 <= len(d) <= 15 or 16 <= len(d) <= 19 and luhn(d))
+
+    if first < end and passes(first, end):
+        return [(first, end)]
+    cuts = [first - 1, *[t for t in range(first, end) if tokens[t][0] == "gap" and WIDE.search(tokens[t][3])], end]
+    return [(a + 1, z) for a, z in zip(cuts, cuts[1:]) if a + 1 < z and passes(a + 1, z)]
+
+
 def spelled_edits(text: str) -> list[tuple[int, int, str]]:
-    """Runs of digits of which two or more are spelled, and which hold at least seven digits, become plain digits."""
+    """Spelled digits and disguised dots become plain where the stretch then passes the ip, card or phone rule.
+
+    Other runs of seven digits or more, of which two or more are spelled, become plain digits too."""
     out = []
     for m in SPELLED.finditer(text):
-        tokens = [(t.lastgroup, t.start() + m.start(), t.end() + m.start(), t.group().lower()) for t in TOKEN.finditer(m.group())]
-        spoken = sum(k == "word" for k, *_ in tokens)
-        if spoken < 2 or spoken + sum(k == "digit" for k, *_ in tokens) < 7:
+        if not SPOKEN.search(m.group()):
             continue
-        stops = sum(k == "stop" for k, *_ in tokens)
-        new = {"word": lambda s: str(DIGIT_WORDS[s]), "digit": str, "plus": lambda s: "+", "stop": lambda s: "." if stops == 3 else "", "gap": lambda s: ""}
-        out += [(a, z, new[k](s)) for k, a, z, s in tokens]
+        tokens = []
+        for t in TOKEN.finditer(m.group()):
+            kind, s = t.lastgroup, t.group().lower()
+            tokens.append((kind, t.start() + m.start(), t.end() + m.start(), s, str(DIGIT_WORDS[s]) if kind == "word" else s if kind == "digit" else ""))
+        stops, whole = sum(k == "stop" for k, *_ in tokens), (0, len(tokens))
+        number = number_ranges(tokens, *whole)
+        if tokens[0][0] != "plus" and (number != [whole] or stops == 3):
+            number = []
+        ranges, done = [], 0
+        for a, z in [*([] if number else ip_ranges(tokens)), (len(tokens), len(tokens))]:
+            ranges += [(*r, tokens[0][0] == "plus" and stops == 3) for r in (number or number_ranges(tokens, done, a))]
+            ranges += [(a, z, True)] * (a < z)
+            done = z
+        if not ranges:
+            if sum(k == "word" for k, *_ in tokens) < 2 or sum(len(t[4]) for t in tokens) < 7:
+                continue
+            ranges = [(0, len(tokens), stops == 3)]
+        for a, z, dotted in ranges:
+            new = {"plus": "+", "stop": "." if dotted else "", "gap": ""}
+            out += [(p, q, n) for k, p, q, s, d in tokens[a:z] if (n := d or new[k]) != s]
     return out
 
 

@@ -266,6 +266,24 @@ def test_disguises(text, kind, span):
     assert [(k, text[a:z]) for k, a, z in pii.added_spans(text, base)] == [(kind, span)]
 
 
+@pytest.mark.parametrize("text, kind, span", [
+    ("host 192 dot 168 dot 1 dot 77 up", "ip", "192 dot 168 dot 1 dot 77"), ("c2 at 10[.]0[.]0[.]1, seen", "ip", "10[.]0[.]0[.]1"),
+    ("(192(dot)168(dot)0(dot)1)", "ip", "192(dot)168(dot)0(dot)1"), ("defanged 192.168.1[.]77.", "ip", "192.168.1[.]77"),
+    ("dns eight dot eight dot eight dot eight ok", "ip", "eight dot eight dot eight dot eight"),
+    ("one zero dot zero dot zero dot one", "ip", "one zero dot zero dot zero dot one"), ("eins zwei sieben punkt null punkt null punkt eins", "ip", "eins zwei sieben punkt null punkt null punkt eins"),
+    ("one [dot] two {dot} three (.) four", "ip", "one [dot] two {dot} three (.) four"), ("5, 300 dot 192 dot 168 dot 1 dot 77 5", "ip", "192 dot 168 dot 1 dot 77"),
+    ("pay 4111 1111 1111 111 one now", "card", "4111 1111 1111 111 one"), ("4111 dot 1111 dot 1111 dot 1111", "card", "4111 dot 1111 dot 1111 dot 1111"),
+    ("pay 4111 1111 1111 111 one, 2 times", "card", "4111 1111 1111 111 one"), ("call plus 44 20 7946 0958", "phone", "plus 44 20 7946 0958"),
+    ("call +4 four 20 7946 0958", "phone", "+4 four 20 7946 0958"), ("+1 (zero one seven) 555-7713", "phone", "+1 (zero one seven) 555-7713")])
+def test_short_and_half_spelled_numbers(text, kind, span):
+    assert [(k, text[a:z]) for k, a, z in pii.added_spans(text, pii.base_spans(text))] == [(kind, span)]
+
+
+def test_lists_and_decimals_are_no_numbers():
+    for t in ["one. two. three. four. five", "1. 2. 3. 4.", "3 point 5 and 4 point 2", "one, two, three, four, five, six", "256 dot 1 dot 1 dot 1", "v 1.2.3 dot", "4111 1111 1111 111 two"]:
+        assert pii.added_spans(t, pii.base_spans(t)) == []
+
+
 def test_plain_prose_has_no_disguise():
     for t in ["we meet at home. Dot is here at noon", "one two three go", "look at this dot on the map", "an email a@b.example.org at home", "un deux trois nous irons au bois"]:
         assert pii.added_spans(t, pii.base_spans(t)) == []
