@@ -49,6 +49,9 @@ SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus\s+|\+\s*))?{_DIGIT}(?:(?:{_GAP}|{_
 TOKEN = re.compile(rf"(?P<word>{_WORD})(?![^\W_])|(?P<digit>[0-9]+)|(?P<plus>plus\b|\+)|(?P<stop>{_STOP})|(?P<gap>[\s,;()-]+)", re.IGNORECASE)
 SPOKEN = re.compile(r"[^\W\d_]|[\(\[\{<]\s*\.")
 WIDE = re.compile(r"[^\x20-]")
+# A single digit word after a whole plain number that reads as an article or a start of prose (+1 848 555 1373 Un jour).
+ARTICLE = re.compile(r"[\s,;-]+(?:un|uno|one|oh)\Z", re.IGNORECASE)
+PROSE = re.compile(r"\s+[^\W\d_]")
 AT = r"(?:\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*|\s+at\s+|\s*@\s*)"
 DOT = r"(?:\s*[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]\s*|\s+dot\s+|\.)"
 _NAME = r"[A-Za-z0-9_%+-]+"
@@ -164,6 +167,9 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     for m in SPELLED.finditer(text):
         if not SPOKEN.search(m.group()):
             continue
+        tail = ARTICLE.search(m.group()) if PROSE.match(text, m.end()) else None
+        if tail and not SPOKEN.search(front := m.group()[:tail.start()]) and base_spans(front):
+            continue
         tokens = []
         for t in TOKEN.finditer(m.group()):
             kind, s = t.lastgroup, t.group().lower()
@@ -210,7 +216,10 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Identifiers that only the rewritten text shows, as source spans that touch no base span and hold a rewritten stretch."""
+    """Identifiers that only the rewritten text shows, as source spans that hold a rewritten stretch.
+
+    A span that lies within a base span or an added one is dropped. One that overlaps base spans stays if it holds a whole
+    one of its kind and more, or a rewritten stretch that no base span holds."""
     view, touched = Rewritten(text), []
     if ODD.search(text):
         view.replace([(m.start(), m.end(), CHARACTER[m.group()]) for m in ODD.finditer(text)])
@@ -224,10 +233,14 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         return []
     touched.sort()
     found = [(k, *view.source(a, z)) for k, a, z in base_spans(view.text)]
+    bare = [(s, e) for s, e in touched if not any(a <= s and e <= z for _, a, z in base)]
     taken = [(a, z) for _, a, z in base]
     out = []
     for kind, a, z in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1])):
-        if any(a < e and s < z for s, e in taken) or not any(a < e and s < z for s, e in touched):
+        if any(s <= a and z <= e for s, e in taken) or not any(a < e and s < z for s, e in touched):
+            continue
+        wider = any(k == kind and a <= s and e <= z for k, s, e in base)
+        if not wider and any(a < e and s < z for _, s, e in base) and not any(a < e and s < z for s, e in bare):
             continue
         out.append((kind, a, z))
         taken.append((a, z))
@@ -237,8 +250,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
 def pii_spans(df: DataFrame) -> DataFrame:
     """Personal data in (doc_id, text), one row per input row: doc_id, base and added (lists of kind, start, end, in code points).
 
-    Base spans are undisguised identifiers and stay as found; added ones are found behind disguises, do not touch base
-    spans and hold at least one rewritten stretch. Null text is empty; whole texts are scanned."""
+    Base spans are undisguised identifiers and stay as found; added ones are found behind disguises, do not lie
+    within base spans (they may contain or overlap one) and hold at least one rewritten stretch. Null text is empty; whole texts are scanned."""
     span = "array<struct<kind:string,start:long,end:long>>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

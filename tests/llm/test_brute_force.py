@@ -279,6 +279,25 @@ def test_short_and_half_spelled_numbers(text, kind, span):
     assert [(k, text[a:z]) for k, a, z in pii.added_spans(text, pii.base_spans(text))] == [(kind, span)]
 
 
+@pytest.mark.parametrize("text, kind, span, base", [
+    ("jоhn@mail.example.com", "email", "jоhn@mail.example.com", "hn@mail.example.com"), ("ask john dot doe@acme.com", "email", "john dot doe@acme.com", "doe@acme.com"),
+    ("to john@example.cоm now", "email", "john@example.cоm", "john@example.c"),
+    ("+44 20 7946 zero nine five eight", "phone", "+44 20 7946 zero nine five eight", "+44 20 7946"),
+    ("+44 20 7946 095 eight", "phone", "+44 20 7946 095 eight", "+44 20 7946 095"),
+    ("4111 1111 1111 1111 one one zero", "card", "4111 1111 1111 1111 one one zero", "4111 1111 1111 1111")])
+def test_disguise_around_a_base_match(text, kind, span, base):
+    own = pii.base_spans(text)
+    assert base in [text[a:z] for _, a, z in own]
+    assert (kind, span) in [(k, text[a:z]) for k, a, z in pii.added_spans(text, own)]
+
+
+def test_base_spans_are_not_repeated():
+    for t in ["a@b.example.org (dot) x", "+​ 4111 1111 1111 1111, a@b.example.org [at] home", "jоhn wrote a@b.example.org", "+1 (848) 555-1373 Un jour"]:
+        own = pii.base_spans(t)
+        assert own and not set(pii.added_spans(t, own)) & set(own)
+        assert "Un" not in t or pii.added_spans(t, own) == []
+
+
 def test_lists_and_decimals_are_no_numbers():
     for t in ["one. two. three. four. five", "1. 2. 3. 4.", "3 point 5 and 4 point 2", "one, two, three, four, five, six", "256 dot 1 dot 1 dot 1", "v 1.2.3 dot", "4111 1111 1111 111 two"]:
         assert pii.added_spans(t, pii.base_spans(t)) == []
