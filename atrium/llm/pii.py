@@ -31,9 +31,23 @@ DIGIT_WORDS = {"zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "f
                "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
                "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
                "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9}
-# Last parts of host names that an address in plain words (name at host dot com) must have.
-HOST_ENDS = ("com org net edu gov mil int info biz name io co ai app dev me tv eu us uk ca au nz in de fr es it nl be ch at se no dk fi pl pt br mx ar jp kr cn "
-             "example test invalid").split()
+# Last parts of host names by which an address in plain words (name at host dot com) is known: country codes, generic and reserved ones.
+HOST_ENDS = frozenset((
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx "
+    "cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq "
+    "ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na "
+    "nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy "
+    "sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw "
+    "com org net edu gov mil int info biz name pro mobi aero coop museum jobs post tel travel cat asia arpa academy agency app apps art audio auto bank bar beer "
+    "berlin best bike bio blog build business buzz cafe camp capital car cards care cars cash center chat church city cloud club codes coffee community company "
+    "consulting contact cool courses credit data dating deals dental design dev digital direct directory doctor earth education email energy engineer engineering "
+    "events exchange expert express family fan farm fashion film finance fit fitness fun fund fyi gallery game games garden gift global gmbh gold golf group guide guru "
+    "health help homes host hosting hotel house icu inc ink institute international investments land law legal life link live loan lol london love ltd market "
+    "marketing media men moe money movie network news ninja nyc one online page paris partners parts party photo photography photos pics pizza plus press "
+    "productions promo pub radio red rent repair report rest restaurant review reviews rip rocks run sale school science services sexy shop shopping show site ski "
+    "social software solar solutions space store stream studio style support surf systems tax team tech technology tips today tokyo tools top tours town toys trade "
+    "training tube university vip video vision watch website wedding wien wiki win wine work works world wtf xxx xyz yoga zone "
+    "example test invalid localhost onion local").split())
 WIDTHLESS = "​‌‍⁠﻿­"
 
 CHARACTER = {x: latin for latin, likes in LOOKALIKES.items() for x in likes} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys(WIDTHLESS, "")
@@ -193,25 +207,39 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def host_end(name: str, host: str, plain: bool) -> int:
+    """Length of the part of ``host`` that is a host name, 0 if none.
+
+    In plain words the last part is a known ending, or two dots of the address are spoken; unknown parts behind a written full
+    stop belong to the next sentence. With signs any last part of letters will do."""
+    dots = list(re.finditer(DOT, host, re.IGNORECASE))
+    spoken = lambda ms: sum(m.group() != "." for m in ms)
+    before = spoken(re.finditer(DOT, name, re.IGNORECASE))
+    end = len(host)
+    while dots:
+        last = host[dots[-1].end():end].lower()
+        word = 2 <= len(last) <= 63 and last.isalpha() or last.startswith("xn--")
+        if word and (not plain or last in HOST_ENDS or dots[-1].group() != "." and before + spoken(dots) >= 2):
+            return end
+        end = dots.pop().start()
+    return 0
+
+
 def address_edits(text: str) -> list[tuple[int, int, str]]:
     """At and dot disguises of one address: the at or a dot of the host must be disguised, a bare ``at`` needs a disguised dot."""
-    out = []
-    for m in ADDRESS.finditer(text):
-        at, host = m.group("at"), m.group("host")
-        if not BRACKETED.search(m.group()):
-            continue
-        if at.strip().lower() == "at" and not BRACKETED.search(host):
-            continue
-        last = re.split(DOT, host, flags=re.IGNORECASE)[-1]
-        if not 2 <= len(last) <= 12 or not last.isalpha():
-            continue
-        if not re.search(r"[\(\[\{<@]", m.group()) and last.lower() not in HOST_ENDS:
+    out, at = [], 0
+    while m := ADDRESS.search(text, at):
+        at = m.start("host")
+        end = at + host_end(m.group("name"), m.group("host"), not re.search(r"[\(\[\{<@]", m.group()))
+        if end == at or not BRACKETED.search(text, m.start(), end) or m.group("at").strip().lower() == "at" and not BRACKETED.search(text, at, end):
             continue
-        for part, base in (("name", m.start("name")), ("at", m.start("at")), ("host", m.start("host"))):
-            if part == "at":
-                out.append((m.start("at"), m.end("at"), "@"))
-            else:
-                out += [(base + t.start(), base + t.end(), ".") for t in re.finditer(DOT, m.group(part), re.IGNORECASE)]
+        out += [(m.start("name") + t.start(), m.start("name") + t.end(), ".") for t in re.finditer(DOT, m.group("name"), re.IGNORECASE)]
+        out.append((m.start("at"), m.end("at"), "@"))
+        out += [(at + t.start(), at + t.end(), ".") for t in re.finditer(DOT, text[at:end], re.IGNORECASE)]
+        if text[end:end + 1] == ".":
+            out.append((end, end + 1, " "))
+            end += 1
+        at = end
     return out
 
 

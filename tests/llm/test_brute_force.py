@@ -298,6 +298,21 @@ def test_base_spans_are_not_repeated():
         assert "Un" not in t or pii.added_spans(t, own) == []
 
 
+@pytest.mark.parametrize("text, span", [
+    *[(f"write to ivan at mail dot {end} soon", f"ivan at mail dot {end}") for end in "ru cz hu gr ro tr ie za sg online cloud blog shop technology".split()],
+    ("x at shop dot online", "x at shop dot online"), ("ivan at example dot com.Thanks for it", "ivan at example dot com"), ("ivan at example dot com.", "ivan at example dot com"),
+    ("john dot doe at mail dot firma", "john dot doe at mail dot firma"), ("ann at mail dot acme dot brandname", "ann at mail dot acme dot brandname"),
+    ("look at this dot john at mail dot ru", "this dot john at mail dot ru"), ("jane(at)mail(dot)photography", "jane(at)mail(dot)photography"),
+    ("ann (at) mail.example (dot) com.5 times", "ann (at) mail.example (dot) com")])
+def test_host_endings(text, span):
+    assert [(k, text[a:z]) for k, a, z in pii.added_spans(text, pii.base_spans(text))] == [("email", span)]
+
+
+def test_dots_in_prose_are_no_hosts():
+    for t in ["look at the dot product", "we met at noon dot everyone left", "a point at x dot y.Then", "look at home.com or dot nothing"]:
+        assert pii.added_spans(t, pii.base_spans(t)) == []
+
+
 def test_lists_and_decimals_are_no_numbers():
     for t in ["one. two. three. four. five", "1. 2. 3. 4.", "3 point 5 and 4 point 2", "one, two, three, four, five, six", "256 dot 1 dot 1 dot 1", "v 1.2.3 dot", "4111 1111 1111 111 two"]:
         assert pii.added_spans(t, pii.base_spans(t)) == []
