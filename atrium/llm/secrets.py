@@ -25,8 +25,12 @@ CLASSES = ((re.compile(r"[0-9a-fA-F]+"), 3.0), (re.compile(r"[A-Za-z0-9]+"), 3.7
 # Candidates that are no secrets: digits or letters alone, UUIDs, words joined by separators, placeholders.
 ALLOWED = re.compile(r"[0-9_=+/-]+|[A-Za-z_=+/-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:[A-Za-z]+[0-9]{0,4}[-_/+=]+)+(?:[A-Za-z]+[0-9]{0,4})?|"
                      r"(?i:.*(?:example|sample|dummy|placeholder|changeme|xxxxx).*)")
-# Text in front of a candidate that says it is public: digests, inline images, links.
-ALLOWED_BEFORE = re.compile(r"(?i)(?:sha(?:1|256|384|512)[-:= ]+|md5[-:= ]+|base64,|https?://[^\s]*)$")
+# Text in front of a candidate that says it is public: digests, inline images.
+ALLOWED_BEFORE = re.compile(r"(?i)(?:sha(?:1|256|384|512)[-:= ]+|md5[-:= ]+|base64,)$")
+# Links: the host and path parts of words and numbers are public, user information, other path parts and query values are not.
+LINK_BEFORE = re.compile(r"(?i)https?://([^\s]*)$")
+SLUG = re.compile(r"(?:(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)[-_+]+)+(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)?")
+USER = re.compile(r"[^\s/?#]*@")
 
 
 def window_entropy(text: str, size: int = WINDOW) -> tuple[np.ndarray, int]:
@@ -49,12 +53,31 @@ def window_entropy(text: str, size: int = WINDOW) -> tuple[np.ndarray, int]:
     return np.array(out), size
 
 
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of the strings to look at; those in a link are cut into its parts, the public ones left out."""
+    for m in CANDIDATE.finditer(text):
+        before = max(0, m.start() - 200)
+        if ALLOWED_BEFORE.search(text, before, m.start()):
+            continue
+        first = m.start() + 2 * m.group().startswith("//")
+        link = LINK_BEFORE.search(text, before, first)
+        if not link:
+            yield m.start(), m.group()
+            continue
+        query = re.search(r"[?#]", link[1])
+        for k, part in enumerate(re.finditer(r"[^=]+" if query else r"[^/=]+", text[first:m.end()])):
+            start = first + part.start()
+            host = k == 0 and not re.search(r"[/?#]", link[1]) and not USER.match(text, start)
+            if not host and (query or not SLUG.fullmatch(part.group())):
+                yield start, part.group()
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Candidates of which some window is random for its class, cut to the windows that are, allow-list suppressed."""
     spans = []
-    for m in CANDIDATE.finditer(text):
-        value = m.group().rstrip("=")
-        if len(value) < WINDOW or ALLOWED.fullmatch(value) or ALLOWED_BEFORE.search(text, max(0, m.start() - 200), m.start()):
+    for start, value in candidates(text):
+        value = value.rstrip("=")
+        if len(value) < WINDOW or ALLOWED.fullmatch(value):
             continue
         limit = next((least for pattern, least in CLASSES if pattern.fullmatch(value)), None)
         if limit is None:
@@ -62,7 +85,7 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         bits, size = window_entropy(value)
         hot = np.flatnonzero(bits >= limit)
         if len(hot):
-            spans.append((m.start() + int(hot[0]), m.start() + int(hot[-1]) + size))
+            spans.append((start + int(hot[0]), start + int(hot[-1]) + size))
     return spans
 
 
