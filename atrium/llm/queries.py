@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators and the SQL that must give the same rows where SQL can express them."""
 from __future__ import annotations
 
-from . import dedup, jaccard, lm, mixing, packing, pii, quality, repetition, secrets, sharding
+from . import dedup, jaccard, lm, mixing, packing, pii, quality, repair, repetition, secrets, sharding
 
 QUERIES = {
     "op1_kd_shards": sharding.op1_kd_shards,
@@ -14,5 +14,6 @@ QUERIES = {
     "op8_heavy_light": jaccard.op8_heavy_light,
     "op9_entropy": secrets.op9_entropy,
     "op10_stupid_backoff": lm.op10_stupid_backoff,
+    "op13_auction_repair": repair.op13_auction_repair,
 }
 SQL = {"op2_content_sort": dedup.SQL, "op4_repetition": repetition.SQL, "op8_heavy_light": jaccard.SQL, "op10_stupid_backoff": lm.SQL}
