@@ -3,7 +3,7 @@ from importlib import import_module
 from importlib.util import find_spec
 
 MODULES = ["labels_filters", "source_queries", "conversions", "join_queries", "aggregate_queries", "window_queries",
-           "spatial_queries", "graph_queries", "raster_queries", "distribution_queries", "report_queries",
+           "spatial_queries", "overlay_queries", "graph_queries", "raster_queries", "distribution_queries", "report_queries",
            "streaming_queries"]
 
 

@@ -72,6 +72,75 @@ def edges_of(ring: Column) -> Column:
                                                        q["x"].alias("x1"), q["y"].alias("y1")))
 
 
+def signed_area(ring: Column) -> Column:
+    """Shoelace sum: positive for counter-clockwise rings."""
+    cross = F.transform(edges_of(ring), lambda e: e["x0"] * e["y1"] - e["x1"] * e["y0"])
+    return F.aggregate(cross, F.lit(0.0), lambda a, v: a + v) / 2
+
+
+def counter_clockwise(ring: Column) -> Column:
+    return F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
+
+
+MITRE_LIMIT = 5.0  # a corner moves by at most this many times the distance
+
+
+def edge_normal(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Unit normal to the right of an edge: the outer side of a counter-clockwise ring."""
+    n = F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
+    return F.struct(((y1 - y0) / n).alias("x"), ((x0 - x1) / n).alias("y"))
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _mitre(p: Column, a: Column, b: Column, r: float) -> Column:
+    k = F.lit(float(r)) / F.greatest(1 + a["x"] * b["x"] + a["y"] * b["y"], F.lit(2.0 / MITRE_LIMIT ** 2))
+    return _point(p["x"] + k * (a["x"] + b["x"]), p["y"] + k * (a["y"] + b["y"]))
+
+
+def edge_strip(x0: Column, y0: Column, x1: Column, y1: Column, n: Column, r: float) -> Column:
+    """Rectangle between an edge and its copy moved by ``r`` along its normal."""
+    return F.array(_point(x0, y0), _point(x0 + r * n["x"], y0 + r * n["y"]), _point(x1 + r * n["x"], y1 + r * n["y"]), _point(x1, y1))
+
+
+def corner_kite(p: Column, a: Column, b: Column, r: float) -> Column:
+    """What the strips of two edges with normals a and b leave open at their corner p; NULL where they overlap."""
+    turn = (a["x"] * b["y"] - a["y"] * b["x"]) * (1 if r > 0 else -1)
+    return F.when(turn > 1e-12, F.array(_point(p["x"], p["y"]), _point(p["x"] + r * a["x"], p["y"] + r * a["y"]), _mitre(p, a, b, r),
+                                        _point(p["x"] + r * b["x"], p["y"] + r * b["y"])))
+
+
+def _corners(ring: Column) -> Column:
+    """Points with the normals of the edges before and after them."""
+    def at(i):
+        return F.get(ring, F.pmod(i, F.size(ring)))
+
+    def normal(p, q):
+        return edge_normal(p["x"], p["y"], q["x"], q["y"])
+
+    return F.transform(ring, lambda p, i: F.struct(p.alias("p"), normal(at(i - 1), p).alias("a"), normal(p, at(i + 1)).alias("b")))
+
+
+def offset_ring(ring: Column, r: float) -> Column:
+    """Counter-clockwise ring with every edge moved outwards by ``r`` (inwards if negative) and mitred corners. Neighbouring points differ."""
+    return F.transform(_corners(ring), lambda c: _mitre(c["p"], c["a"], c["b"], r))
+
+
+def same_sense(ring: Column, moved: Column) -> Column:
+    """True if every edge of ``moved`` runs in the direction of the same edge of ``ring``."""
+    pairs = F.zip_with(edges_of(ring), edges_of(moved), lambda e, m: (e["x1"] - e["x0"]) * (m["x1"] - m["x0"]) + (e["y1"] - e["y0"]) * (m["y1"] - m["y0"]))
+    return F.forall(pairs, lambda v: v > 0)
+
+
+def ring_bands(ring: Column, r: float) -> Column:
+    """Strips and kites that cover what lies within ``r`` of a counter-clockwise ring on its outer (r > 0) or inner side."""
+    strips = F.transform(edges_of(ring), lambda e: edge_strip(e["x0"], e["y0"], e["x1"], e["y1"], edge_normal(e["x0"], e["y0"], e["x1"], e["y1"]), r))
+    kites = F.filter(F.transform(_corners(ring), lambda c: corner_kite(c["p"], c["a"], c["b"], r)), lambda k: k.isNotNull())
+    return F.concat(strips, kites)
+
+
 def edge_length(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
