@@ -49,14 +49,13 @@ CTE["gen_rooms"] = f"""
   FROM (SELECT *, CASE WHEN pk % 13 = 0 THEN (type_id + 1) % 15 ELSE type_id END AS t FROM rooms WHERE pk % 11 <> 0)"""
 CTE["gen_ids"] = """
   SELECT CASE WHEN plan_id % 3 = 0 AND k = 0 THEN plan_id::VARCHAR ELSE plan_id || '_' || k END AS gen_id
-  FROM plans, (SELECT unnest([0, 1, 2]) AS k) WHERE plan_id % 4 = 0 AND NOT (plan_id % 8 = 0 AND k = 2)"""
+  FROM plans, (SELECT unnest([0, 1, 2]) AS k) WHERE k < 3 - CAST(plan_id % 8 = 0 AS INTEGER)"""
 CTE["program_edges"] = """
   SELECT plan_id, idx - 1 AS a, idx AS b, 'door' AS kind FROM rooms WHERE idx >= 1
   UNION ALL SELECT plan_id, 0, idx, 'wall' FROM rooms WHERE idx >= 2"""
 CTE["storeys"] = """
-  SELECT home, storey, n_storeys, plan_id FROM (
-    SELECT home, plan_id, row_number() OVER (PARTITION BY home ORDER BY plan_id) - 1 AS storey,
-           1 + home % 3 AS n_storeys FROM plans) WHERE storey < n_storeys"""
+  SELECT owner * 1000000 + turn // n_storeys AS home, turn % n_storeys AS storey, n_storeys, plan_id FROM (
+    SELECT home AS owner, plan_id, row_number() OVER (PARTITION BY home ORDER BY plan_id) - 1 AS turn, 1 + home % 3 AS n_storeys FROM plans)"""
 CTE["adj"] = """
   SELECT a.plan_id, a.idx AS i, b.idx AS j FROM rooms a JOIN rooms b ON a.plan_id = b.plan_id AND a.idx < b.idx
   WHERE least(a.x1, b.x1) - greatest(a.x0, b.x0) + 60 > 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) + 60 > 0

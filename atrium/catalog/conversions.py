@@ -24,16 +24,16 @@ FIN = ["MH 1", "KPH/WC", "OH+K", "ET", "KHH", "PARVEKE 2", "??", "VH"]
 FIN_T = ["bedroom", "bathroom", "living_room", "entrance", "laundry", "balcony", "other", "closet"]
 
 
-@query("conv_cubicasa", """WITH r AS (SELECT plan_id, idx, pk, [""" + ",".join(f"'{x}'" for x in FIN_T) + """][pk % 8 + 1] AS type, (x1 - x0) AS px, ((x1 - x0) // 30 + ((y1 - y0) % 12) / 12.0::DOUBLE) * 0.3048 AS m, (x1 - x0) * (y1 - y0) AS a FROM rooms WHERE pk % 10 <> 9),
+@query("conv_cubicasa", """WITH r AS (SELECT plan_id, idx, pk, [""" + ",".join(f"'{x}'" for x in FIN_T) + """][pk % 8 + 1] AS type, (x1 - x0) AS px, ((x1 - x0) // 30 + ((y1 - y0) % 12) / 12.0::DOUBLE) * 0.3048 AS m, (x1 - x0) * (y1 - y0) AS a, pk % 10 = 9 AS overlay FROM rooms),
   s AS (SELECT plan_id, quantile_cont(m / px, 0.5) AS scale FROM r GROUP BY plan_id)
-  SELECT r.plan_id, idx, type, a / 10000 AS area_m2, round(s.scale, 9) AS scale FROM r JOIN s ON r.plan_id = s.plan_id""")
+  SELECT r.plan_id, idx, type, a / 10000 AS area_m2, overlay, round(s.scale, 9) AS scale FROM r JOIN s ON r.plan_id = s.plan_id""")
 def conv_cubicasa(t):
-    """Floors with label tokens and imperial dimension labels; overlay spaces skipped."""
-    r = t.rooms.filter("pk % 10 <> 9").withColumn("label", pick(FIN, C("pk") % len(FIN)))
+    """Floors with label tokens and imperial dimension labels; overlay spaces are marked."""
+    r = t.rooms.withColumn("overlay", C("pk") % 10 == 9).withColumn("label", pick(FIN, C("pk") % len(FIN)))
     dims = r.select("plan_id", (C("x1") - C("x0")).alias("px"), F.concat(F.floor((C("x1") - C("x0")) / 30), lit("' "), (C("y1") - C("y0")) % 12, lit('"')).alias("label"))
     s = V.floor_scale(dims, ["plan_id"])
     return r.join(s, "plan_id").select("plan_id", "idx", F.coalesce(V.label_token_type(C("label")), lit("other")).alias("type"),
-                                       ((C("x1") - C("x0")) * (C("y1") - C("y0")) / 10000).alias("area_m2"), F.round("scale_p50", 9).alias("scale"))
+                                       ((C("x1") - C("x0")) * (C("y1") - C("y0")) / 10000).alias("area_m2"), "overlay", F.round("scale_p50", 9).alias("scale"))
 
 
 @query("conv_lifull", """SELECT plan_id, idx, CASE WHEN pk % 3 = 2 AND pk % 2 = 0 THEN (x1 - x0) * (y1 - y0) ELSE ra END::DOUBLE AS area FROM (

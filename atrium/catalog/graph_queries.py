@@ -79,7 +79,7 @@ def degrees(t):
 H60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 CTE["wl0"] = "SELECT plan_id, idx, " + H60.format("type") + " AS h FROM rooms"
 for _r in (1, 2, 3):
-    CTE[f"wl{_r}"] = f"""SELECT n.plan_id, n.idx, {H60.format("n.h || '|' || coalesce(s.s, 0)")} AS h FROM wl{_r - 1} n LEFT JOIN (SELECT e.plan_id, e.a, CAST(sum(w.h % 1099511627776) AS BIGINT) AS s
+    CTE[f"wl{_r}"] = f"""SELECT n.plan_id, n.idx, {H60.format("n.h || '|' || coalesce(s.s, '0')")} AS h FROM wl{_r - 1} n LEFT JOIN (SELECT e.plan_id, e.a, CAST(sum(w.h) AS VARCHAR) AS s
       FROM adj_sym e JOIN wl{_r - 1} w ON e.plan_id = w.plan_id AND e.b = w.idx GROUP BY ALL) s ON n.plan_id = s.plan_id AND n.idx = s.a"""
 CTE["topo"] = f"""SELECT plan_id, md5(count(*) || '|' || CAST(sum(h) AS VARCHAR) || '|' || CAST(sum({H60.format("h || '#'")}) AS VARCHAR)) AS topology
   FROM wl3 GROUP BY plan_id"""

@@ -8,6 +8,7 @@ from ..operators.nearest import nearest_neighbour
 from ..operators.ranking import hash_order, rank_distributed
 from ..plans import metrics as M
 from ..plans.rules import room_attributes
+from .tables import HOMES
 from .base import CTE, query
 
 C, lit = F.col, F.lit
@@ -42,19 +43,19 @@ def full_type_join(t):
 
 
 @query("pickle_join", """SELECT 'test_' || p.plan_id AS sample_id, p.plan_id AS record_id, n.n AS n_rooms FROM plans p JOIN (SELECT plan_id, count(*) AS n FROM rooms GROUP BY plan_id) n
-  ON p.plan_id = n.plan_id WHERE p.plan_id IN (SELECT plan_id FROM storeys)""")
+  ON p.plan_id = n.plan_id WHERE p.plan_id IN (SELECT plan_id FROM storeys WHERE storey = 0)""")
 def pickle_join(t):
     """Samples joined to archive records by the number at the end of their id, limited to an id list."""
     s = t.plans.select(F.concat(lit("test_"), C("plan_id")).alias("sample_id"))
     arch = t.rooms.groupBy("plan_id").agg(F.count(lit(1)).alias("n_rooms")).withColumnRenamed("plan_id", "record_id")
-    ids = t.storeys.select(C("plan_id").alias("record_id")).distinct()
+    ids = t.storeys.filter("storey = 0").select(C("plan_id").alias("record_id")).distinct()
     key = F.split_part("sample_id", lit("_"), lit(-1)).cast("long")
     return s.withColumn("record_id", key).join(arch, "record_id").join(ids, "record_id", "left_semi").select("sample_id", "record_id", "n_rooms")
 
 
-@query("exclude_reference", "SELECT plan_id FROM plans WHERE dataset = 'F' AND plan_id NOT IN (SELECT plan_id FROM storeys)")
+@query("exclude_reference", "SELECT plan_id FROM plans WHERE dataset = 'F' AND plan_id NOT IN (SELECT plan_id FROM storeys WHERE storey = 0)")
 def exclude_reference(t):
-    return t.plans.filter("dataset = 'F'").select("plan_id").join(t.storeys.select("plan_id"), "plan_id", "left_anti")
+    return t.plans.filter("dataset = 'F'").select("plan_id").join(t.storeys.filter("storey = 0").select("plan_id"), "plan_id", "left_anti")
 
 
 @query("nearest_join", """SELECT a.vec_id, min_by(b.vec_id, struct_pack(d := list_distance(a.vec, b.vec), v := b.vec_id)) AS nn_id, round(min(list_distance(a.vec, b.vec)), 6) AS dist
@@ -105,10 +106,10 @@ def find_sample(t):
     return d.select("plan_id", F.coalesce("a", "b").alias("found"))
 
 
-@query("condition_join", """SELECT h.home, h.storey, p.plan_id, p.plan_id IS NULL AS missing FROM (SELECT c_custkey AS home, s AS storey FROM customer, (SELECT unnest([0, 1, 2]) AS s) WHERE s < 1 + c_custkey % 3) h
+@query("condition_join", """SELECT h.home, h.storey, p.plan_id, p.plan_id IS NULL AS missing FROM (SELECT c_custkey * 1000000 AS home, s AS storey FROM customer, (SELECT unnest([0, 1, 2]) AS s) WHERE s < 1 + c_custkey % 3) h
   LEFT JOIN storeys p ON h.home = p.home AND h.storey = p.storey""")
 def condition_join(t):
-    want = t.raw("customer").select(C("c_custkey").alias("home"), F.explode(F.sequence(lit(0).cast("long"), C("c_custkey") % 3)).alias("storey"))
+    want = t.raw("customer").select((C("c_custkey") * HOMES).alias("home"), F.explode(F.sequence(lit(0).cast("long"), C("c_custkey") % 3)).alias("storey"))
     return want.join(t.storeys.select("home", "storey", "plan_id"), ["home", "storey"], "left").select(
         "home", "storey", "plan_id", C("plan_id").isNull().alias("missing"))
 

@@ -12,6 +12,7 @@ from .. import session
 from ..session import large_groups, new_path
 from ..vocab import ROOM_TYPES
 
+HOMES = 1_000_000  # homes an owner may have
 _LARGE: dict = {}
 _KEPT: dict = {}
 
@@ -125,8 +126,10 @@ class Tables:
 
     @cached_property
     def gen_ids(self) -> DataFrame:
-        p = self.plans.filter("plan_id % 4 = 0").select("plan_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-        return p.filter("NOT (plan_id % 8 = 0 AND k = 2)").select(
+        """Ids of three generated samples per plan, two where plan_id % 8 = 0; the first one of every third plan has the plan's own id."""
+        last = F.when(F.col("plan_id") % 8 == 0, 1).otherwise(2)
+        p = self.plans.select("plan_id", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+        return p.select(
             F.when((F.col("plan_id") % 3 == 0) & (F.col("k") == 0), F.col("plan_id").cast("string"))
             .otherwise(F.concat_ws("_", F.col("plan_id").cast("string"), F.col("k").cast("string"))).alias("gen_id"))
 
@@ -141,16 +144,17 @@ class Tables:
 
     @cached_property
     def storeys(self) -> DataFrame:
-        p = self.plans.select("home", "plan_id")
-        s = rank_within(p, ["home"], ["plan_id"], "storey", self.large_homes)
-        s = s.withColumn("n_storeys", F.lit(1) + F.col("home") % 3)
-        return s.filter("storey < n_storeys").select("home", "storey", "n_storeys", "plan_id")
+        """All plans as storeys: those of an owner in turn make homes of 1 + owner % 3 storeys, numbered owner * 1000000 + turn; the last may lack some."""
+        p = self.plans.select(F.col("home").alias("owner"), "plan_id")
+        s = rank_within(p, ["owner"], ["plan_id"], "turn", self.large_owners).withColumn("n_storeys", F.lit(1) + F.col("owner") % 3)
+        return s.select((F.col("owner") * HOMES + F.floor(F.col("turn") / F.col("n_storeys"))).alias("home"),
+                        (F.col("turn") % F.col("n_storeys")).alias("storey"), "n_storeys", "plan_id")
 
     @cached_property
-    def large_homes(self) -> DataFrame | None:
-        key = (*self.version, "home")
+    def large_owners(self) -> DataFrame | None:
+        key = (*self.version, "owner")
         if key not in _LARGE:
-            _LARGE[key] = large_groups(self.raw("orders").select(F.col("o_custkey").alias("home")), ["home"])
+            _LARGE[key] = large_groups(self.raw("orders").select(F.col("o_custkey").alias("owner")), ["owner"])
         return _LARGE[key]
 
     @cached_property

@@ -83,11 +83,11 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     lab = nodes.select("plan_id", "idx", hash60(F.col("type")).alias("h"))
     for _ in range(rounds):
         s = nb.join(lab.select("plan_id", F.col("idx").alias("nb"), "h"), ["plan_id", "nb"]).groupBy(
-            "plan_id", "idx").agg(F.sum(F.pmod(F.col("h"), F.lit(2**40))).alias("s"))
+            "plan_id", "idx").agg(F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("s"))
         # Each round reads the labels twice, so they are written between rounds.
         lab = checkpointed(lab.join(s, ["plan_id", "idx"], "left").select(
             "plan_id", "idx", hash60(F.concat_ws("|", F.col("h").cast("string"),
-                                                 F.coalesce("s", F.lit(0)).cast("string"))).alias("h")))
+                                                 F.coalesce("s", F.lit("0")))).alias("h")))
     return lab
 
 

@@ -83,7 +83,7 @@ def cells(edges: DataFrame, keys: list[str], sides: tuple[str, ...] = ("a",)) ->
     """Cells between neighbouring edges of every slab [xl, xr]: heights at both ends below and above, area, ``below`` (edges under the cell)
     and the running direction sum ``n_<side>`` of every side. Outside of all rings all sums are zero."""
     group = [*keys, "strip"]
-    s = _strips(edges)
+    s = checkpointed(_strips(edges))  # read four times
     x = s.select(*group, F.explode(F.array("xa", "xb")).alias("x")).unionByName(_crossings(s, group)).distinct()
     cuts = x.withColumn("xr", F.lead("x").over(W.partitionBy(*group).orderBy("x"))).filter("xr IS NOT NULL").withColumnRenamed("x", "xl")
     d = s.join(cuts, group).filter((C("xa") <= C("xl")) & (C("xb") >= C("xr")))
@@ -159,7 +159,19 @@ def boundary(inside: DataFrame, keys: list[str]) -> DataFrame:
     walls = ends.select(*keys, "x", "y", F.lead("y").over(w).alias("z"), (F.sum("sl").over(upto) > 0).alias("on_left"), (F.sum("sr").over(upto) > 0).alias("on_right"))
     walls = walls.filter(C("z").isNotNull() & (C("on_left") != C("on_right")))
     walls = walls.select(*keys, F.when(C("on_left"), _piece(C("x"), C("y"), C("x"), C("z"))).otherwise(_piece(C("x"), C("z"), C("x"), C("y"))).alias("e"))
-    return flat.unionByName(walls).select(*keys, "e.*").filter("x0 <> x1 OR y0 <> y1")
+    return _straightened(flat.unionByName(walls).select(*keys, "e.*").filter("x0 <> x1 OR y0 <> y1"), keys)
+
+
+def _straightened(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces of one line that follow each other as one piece: cuts leave many where an outline runs straight."""
+    d = pieces.select("*", once(G.edge_normal(C("x0"), C("y0"), C("x1"), C("y1"))).alias("n"))
+    d = d.withColumn("turn", F.round(F.atan2("n.y", "n.x"), 6) + 0.0).withColumn("line", F.round(C("n.x") * C("x0") + C("n.y") * C("y0"), 3) + 0.0)
+    w = W.partitionBy(*keys, "turn", "line").orderBy(-C("n.y") * C("x0") + C("n.x") * C("y0"))
+    fresh = F.when((F.lag("x1").over(w) == C("x0")) & (F.lag("y1").over(w) == C("y0")), 0).otherwise(1)
+    along = -C("n.y") * C("x0") + C("n.x") * C("y0")
+    d = d.withColumn("along", along).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ends = d.groupBy(*keys, "turn", "line", "run").agg(F.min_by(F.struct("x0", "y0"), "along").alias("a"), F.max_by(F.struct("x1", "y1"), "along").alias("z"))
+    return ends.select(*keys, "a.x0", "a.y0", "z.x1", "z.y1")
 
 
 def outline_bands(pieces: DataFrame, keys: list[str], r: float) -> DataFrame:
@@ -203,7 +215,7 @@ def moved_cells(inside: DataFrame, keys: list[str], r: float) -> DataFrame:
     pieces = checkpointed(boundary(inside, keys))
     both = directed_edges(pieces, keys, "a").unionByName(ring_edges(outline_bands(pieces, keys, r), keys, "b"))
     on = (C("n_a") > 0) | (C("n_b") > 0) if r > 0 else (C("n_a") > 0) & (C("n_b") == 0)
-    return cells(checkpointed(both), keys, ("a", "b")).filter(on & (C("area") > 0))
+    return cells(both, keys, ("a", "b")).filter(on & (C("area") > 0))
 
 
 def closing(rings: DataFrame, keys: list[str], r: float) -> DataFrame:
