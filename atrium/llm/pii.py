@@ -6,6 +6,7 @@ identifiers found in the rewritten text are mapped back to the source characters
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +17,11 @@ from .common import documents
 from .secrets import digest
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The plain rules are EMAIL [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and IP [0-9]+(\.[0-9]+){3}; both are written so that a
+# long run is read once: an address grows from its @ outwards, and a number starts where its run of digits does.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -64,13 +68,18 @@ TOKEN = re.compile(rf"(?P<word>{_WORD})(?![^\W_])|(?P<digit>[0-9]+)|(?P<plus>plu
 SPOKEN = re.compile(r"[^\W\d_]|[\(\[\{<]\s*\.")
 WIDE = re.compile(r"[^\x20-]")
 # A single digit word after a whole plain number that reads as an article or a start of prose (+1 848 555 1373 Un jour).
-ARTICLE = re.compile(r"[\s,;-]+(?:un|uno|one|oh)\Z", re.IGNORECASE)
+ARTICLES = ("uno", "one", "un", "oh")
 PROSE = re.compile(r"\s+[^\W\d_]")
 AT = r"(?:\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*|\s+at\s+|\s*@\s*)"
 DOT = r"(?:\s*[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]\s*|\s+dot\s+|\.)"
 _NAME = r"[A-Za-z0-9_%+-]+"
-ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>{_NAME}(?:{DOT}{_NAME})*)(?P<at>{AT})(?P<host>[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+)", re.IGNORECASE)
-PARTS = re.compile(rf"(?P<at>{AT})|(?P<dot>{DOT})", re.IGNORECASE)
+# A disguised address is read from its at sign: the name before it backwards, the host behind it forwards.
+AT_SIGN = re.compile(r"[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]|(?<=\s)at(?=\s)|@", re.IGNORECASE)
+_DOT_BACK = r"(?:\s*[\)\]\}>]\s*(?:tod|\.)\s*[\(\[\{<]\s*|\s+tod\s+|\.)"
+NAME_BACK = re.compile(rf"{_NAME}(?:{_DOT_BACK}{_NAME})*", re.IGNORECASE)
+WORDED_HOST = re.compile(rf"[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
+DOTS = re.compile(DOT, re.IGNORECASE)
+SPACES = re.compile(r"\s*")
 BRACKETED = re.compile(r"[\(\[\{<]\s*(?:at|@|dot|\.)\s*[\)\]\}>]|\sdot\s", re.IGNORECASE)
 
 
@@ -83,10 +92,29 @@ def digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost addresses: an @ with a name before it, which begins behind the last address, and a host behind it."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        name = text[free:at]
+        start = free + len(name.rstrip(LOCAL))
+        host = HOST.match(text, at + 1) if start < at else None
+        free = at + 1
+        if host:
+            out.append((start, host.end()))
+            free = host.end()
+        at = text.find("@", free)
+    return out
+
+
+def small_number(part: str) -> bool:
+    return len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Undisguised identifiers: leftmost matches by kind, failing ones dropped."""
-    out = [("email", *m.span()) for m in EMAIL.finditer(text)] if "@" in text else []
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out = [("email", *span) for span in emails(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(map(small_number, m.group().split(".")))]
     out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(d := digits(m.group())) <= 19 and luhn(d)]
     return out + ([("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m.group())) <= 15] if "+" in text else [])
 
@@ -173,6 +201,18 @@ def number_ranges(tokens: list[tuple], first: int, end: int) -> list[tuple[int,
     return [(a + 1, z) for a, z in zip(cuts, cuts[1:]) if a + 1 < z and passes(a + 1, z)]
 
 
+def without_article(run: str) -> str | None:
+    """The run without a last word that may be an article, and the gap before it; None if it does not end so."""
+    for word in ARTICLES:
+        if run[-len(word):].lower() == word:
+            front = run[:-len(word)]
+            end = len(front)
+            while end and (front[end - 1].isspace() or front[end - 1] in ",;-"):
+                end -= 1
+            return front[:end] if end < len(front) else None
+    return None
+
+
 def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     """Spelled digits and disguised dots become plain where the stretch then passes the ip, card or phone rule.
 
@@ -181,8 +221,8 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     for m in SPELLED.finditer(text):
         if not SPOKEN.search(m.group()):
             continue
-        tail = ARTICLE.search(m.group()) if PROSE.match(text, m.end()) else None
-        if tail and not SPOKEN.search(front := m.group()[:tail.start()]) and base_spans(front):
+        front = without_article(m.group()) if PROSE.match(text, m.end()) else None
+        if front and not SPOKEN.search(front) and base_spans(front):
             continue
         tokens = []
         for t in TOKEN.finditer(m.group()):
@@ -212,37 +252,70 @@ def host_end(name: str, host: str, plain: bool) -> int:
 
     In plain words the last part is a known ending, or two dots of the address are spoken; unknown parts behind a written full
     stop belong to the next sentence. With signs any last part of letters will do."""
-    dots = list(re.finditer(DOT, host, re.IGNORECASE))
-    spoken = lambda ms: sum(m.group() != "." for m in ms)
-    before = spoken(re.finditer(DOT, name, re.IGNORECASE))
+    dots = list(DOTS.finditer(host))
+    before = sum(m.group() != "." for m in DOTS.finditer(name))
+    spoken = before + sum(m.group() != "." for m in dots)
     end = len(host)
     while dots:
         last = host[dots[-1].end():end].lower()
         word = 2 <= len(last) <= 63 and last.isalpha() or last.startswith("xn--")
-        if word and (not plain or last in HOST_ENDS or dots[-1].group() != "." and before + spoken(dots) >= 2):
+        if word and (not plain or last in HOST_ENDS or dots[-1].group() != "." and spoken >= 2):
             return end
+        spoken -= dots[-1].group() != "."
         end = dots.pop().start()
     return 0
 
 
 def address_edits(text: str) -> list[tuple[int, int, str]]:
     """At and dot disguises of one address: the at or a dot of the host must be disguised, a bare ``at`` needs a disguised dot."""
-    out, at = [], 0
-    while m := ADDRESS.search(text, at):
-        at = m.start("host")
-        end = at + host_end(m.group("name"), m.group("host"), not re.search(r"[\(\[\{<@]", m.group()))
-        if end == at or not BRACKETED.search(text, m.start(), end) or m.group("at").strip().lower() == "at" and not BRACKETED.search(text, at, end):
+    out, free, at = [], 0, 0
+    while sign := AT_SIGN.search(text, at):
+        before = text[free:sign.start()]
+        stem = before.rstrip()
+        back = NAME_BACK.match(stem[::-1])
+        at = SPACES.match(text, sign.end()).end()
+        host = WORDED_HOST.match(text, at) if back else None
+        start = free + len(stem) - back.end() if back else 0
+        if not host or start and text[start - 1] in LOCAL:
+            free, at = sign.end(), sign.end()
             continue
-        out += [(m.start("name") + t.start(), m.start("name") + t.end(), ".") for t in re.finditer(DOT, m.group("name"), re.IGNORECASE)]
-        out.append((m.start("at"), m.end("at"), "@"))
-        out += [(at + t.start(), at + t.end(), ".") for t in re.finditer(DOT, text[at:end], re.IGNORECASE)]
+        name, ends = text[start:free + len(stem)], free + len(stem)
+        end = at + host_end(name, host.group(), not re.search(r"[\(\[\{<@]", text[start:host.end()]))
+        if end == at or not BRACKETED.search(text, start, end) or sign.group().lower() == "at" and not BRACKETED.search(text, at, end):
+            free = at
+            continue
+        out += [(start + t.start(), start + t.end(), ".") for t in DOTS.finditer(name)]
+        out.append((ends, at, "@"))
+        out += [(at + t.start(), at + t.end(), ".") for t in DOTS.finditer(text[at:end])]
         if text[end:end + 1] == ".":
             out.append((end, end + 1, " "))
             end += 1
-        at = end
+        free = at = end
     return out
 
 
+class Spans:
+    """Spans by start, with the largest end so far: looks up whether any of them meets or holds a stretch."""
+
+    def __init__(self, spans):
+        self.starts, self.most = [], []
+        for a, z in sorted(spans):
+            self.add(a, z)
+
+    def add(self, a: int, z: int):
+        """Starts come in rising order."""
+        self.starts.append(a)
+        self.most.append(max(z, self.most[-1]) if self.most else z)
+
+    def meets(self, a: int, z: int) -> bool:
+        k = bisect_left(self.starts, z)
+        return k > 0 and self.most[k - 1] > a
+
+    def holds(self, a: int, z: int) -> bool:
+        k = bisect_right(self.starts, a)
+        return k > 0 and self.most[k - 1] >= z
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Identifiers that only the rewritten text shows, as source spans that hold a rewritten stretch.
 
@@ -259,19 +332,21 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
             view.replace(found)
     if not touched:
         return []
-    touched.sort()
     found = [(k, *view.source(a, z)) for k, a, z in base_spans(view.text)]
-    bare = [(s, e) for s, e in touched if not any(a <= s and e <= z for _, a, z in base)]
-    taken = [(a, z) for _, a, z in base]
+    own = Spans((a, z) for _, a, z in base)
+    bare, touched = Spans(s for s in touched if not own.holds(*s)), Spans(touched)
+    of_kind = {k: [(a, z) for b, a, z in base if b == k] for k in KINDS}
+    added = {k: Spans(()) for k in KINDS}
     out = []
     for kind, a, z in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1])):
-        if any(s <= a and z <= e for s, e in taken) or not any(a < e and s < z for s, e in touched):
+        if own.holds(a, z) or any(s.holds(a, z) for s in added.values()) or not touched.meets(a, z):
             continue
-        wider = any(k == kind and a <= s and e <= z for k, s, e in base)
-        if not wider and any(a < e and s < z for _, s, e in base) and not any(a < e and s < z for s, e in bare):
+        k = bisect_left(of_kind[kind], (a, a))
+        wider = k < len(of_kind[kind]) and of_kind[kind][k][1] <= z
+        if not wider and own.meets(a, z) and not bare.meets(a, z):
             continue
         out.append((kind, a, z))
-        taken.append((a, z))
+        added[kind].add(a, z)
     return out
 
 
