@@ -109,8 +109,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def first_words(text, count):
-    """A text up to the end of its ``count``-th word (the words' own spacing becomes one space)."""
-    return F.array_join(F.slice(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""), 1, count.cast("int")), " ")
+    """A text up to the end of its ``count``-th word, line breaks and spacing as they are.
+
+    White space is one character each, so the stretches between single characters of it give the offsets."""
+    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("end"))
+
+    def step(s, part):
+        words = s["words"] + F.when(part == "", 0).otherwise(1)
+        end = F.when((part != "") & (words <= count), s["at"] + F.length(part)).otherwise(s["end"])
+        return F.struct(words.cast("long").alias("words"), (s["at"] + F.length(part) + 1).cast("long").alias("at"), end.cast("long").alias("end"))
+
+    end = F.aggregate(F.split(text, SPACE), start, step)["end"]
+    return F.substring(text, F.lit(1), end.cast("int"))
 
 
 def op3_curriculum(spark, sf_dir):

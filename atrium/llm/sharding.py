@@ -9,12 +9,15 @@ from .common import documents, running, saved
 DIMENSIONS = ("lang", "source", "n_chars")
 
 
-def _axis(df: DataFrame, name: str):
-    """A number that grows with the column: strings by their first six bytes, missing values lowest."""
-    if dict(df.dtypes)[name] == "string":
-        b = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0")
-        return F.coalesce(F.conv(b, 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.col(name).cast("double"), F.lit(-1.0))
+def _with_axis(df: DataFrame, name: str, axis: str, text: bool) -> DataFrame:
+    """Replace a dimension by a number that grows with it, missing values lowest: texts by the rank among their distinct values.
+
+    Values are ranked by one range sort of the distinct ones, however long or alike they are; the join has one row per value on one side."""
+    if not text:
+        return df.withColumn(axis, F.coalesce(F.col(name).cast("double"), F.lit(-1.0))).drop(name)
+    values = df.filter(F.col(name).isNotNull()).select(name).distinct().withColumn("all", F.lit(0).cast("long")).withColumn("one", F.lit(1).cast("long"))
+    ranks = running(values, "all", [F.col(name)], "one", "kd-values").select(name, F.col("pos").cast("double").alias(axis))
+    return df.join(ranks, name, "left").withColumn(axis, F.coalesce(axis, F.lit(-1.0))).drop(name)
 
 
 def kd_shards(df: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions=DIMENSIONS) -> DataFrame:
@@ -27,9 +30,12 @@ def kd_shards(df: DataFrame, shards: int | None = None, target_bytes: int | None
     Result: doc_id, size, text_crc32, shard, slot. Repeated rows are rows of their own; an empty table gives no rows."""
     axes = [f"a{k}" for k in range(len(dimensions))]
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-                     F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"), *[_axis(df, d).alias(a) for a, d in zip(axes, dimensions)],
+                     F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"), *[F.col(d).alias(f"d_{d}") for d in dimensions],
                      F.lit(0).cast("long").alias("node"))
     rows = saved(rows, "kd-rows")
+    for a, d in zip(axes, dimensions):
+        rows = _with_axis(rows, f"d_{d}", a, dict(df.dtypes)[d] == "string")
+    rows = saved(rows, "kd-axes")
     if shards is None:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // int(target_bytes)))
     extent = rows.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()

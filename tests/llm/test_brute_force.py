@@ -111,6 +111,16 @@ def test_shards(spark, texts):
     assert sharding.kd_shards(spark.read.parquet(f"{DATA}/documents.parquet"), target_bytes=100_000).select("shard").distinct().count() >= 4
 
 
+def test_shards_of_alike_names(spark):
+    """Sources that share a long prefix are split from each other first."""
+    rows = [(k, "x" * 84, f"web-crawl-{2020 + k % 4}", None) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = collections.defaultdict(set)
+    for r in sharding.kd_shards(df, shards=4, dimensions=("lang", "source")).collect():
+        got[r.shard].add(r.doc_id % 4)
+    assert sorted(map(sorted, got.values())) == [[0], [1], [2], [3]]
+
+
 def test_mix(spark, texts, duck):
     rows = queries.QUERIES["op3_curriculum"](spark, DATA).collect()
     source = dict(duck.execute("SELECT doc_id, source FROM documents").fetchall())

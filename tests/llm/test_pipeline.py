@@ -7,7 +7,7 @@ from test_brute_force import WORD, linked_components
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from atrium.llm import quality
+from atrium.llm import mixing, packing, quality
 
 
 def test_registered():
@@ -36,7 +36,39 @@ def test_run(spark, duck):
     for r in got:
         sequences[r.sequence_id] += r.length
     assert max(sequences.values()) <= 2048 and len(sequences) <= 1.03 * -(-sum(sequences.values()) // 2048) + 1
+    # whole documents as often as they come; one document of a source may be cut, at the end of one of its words
+    coder, got_ids, cut = packing.Tokens(), collections.Counter(), []
+    for r in got:
+        got_ids[r.doc_id] += r.length
+    taken = collections.Counter()
+    for d, n in got_ids.items():
+        text, source = left[d]
+        whole, rest = divmod(n, len(coder.encode(text)) // 4 + 1)
+        taken[source] += whole * words[d]
+        if rest:
+            ends = [m.end() for m in WORD.finditer(text)]
+            at = next(k for k, z in enumerate(ends, 1) if len(coder.encode(text[:z])) // 4 + 1 == rest)
+            taken[source] += at
+            cut.append(source)
+    assert len(cut) == len(set(cut))
+    names = sorted(total)
+    weight, full = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, set()
+    while True:  # share again what full sources leave
+        rest = 1.5 * sum(total.values()) - sum(2 * total[s] for s in full)
+        share = {s: 2 * total[s] if s in full else rest * weight[s] / sum(weight[t] for t in names if t not in full) for s in names}
+        above = {s for s in names if share[s] > 2 * total[s] + 1e-6}
+        if not above:
+            break
+        full |= above
+    assert all(abs(taken[s] - share[s]) <= 2 for s in names), (taken, share)
     # every source is mixed in its target: documents left out belong to sources whose target is below their size
     short = {left[d][1] for d in left if d not in {r.doc_id for r in got}}
     weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(total))}
     assert all(weights[s] < 3 for s in short)
+
+
+def test_cut_text_keeps_its_spacing(spark):
+    text = "  one\n\n two\tthree  \r\nfour "
+    rows = spark.createDataFrame([(text, n) for n in range(6)], "text string, n long")
+    got = {r.n: r.t for r in rows.select("n", mixing.first_words(rows.text, rows.n).alias("t")).collect()}
+    assert got == {0: "", 1: "  one", 2: "  one\n\n two", 3: "  one\n\n two\tthree", 4: "  one\n\n two\tthree  \r\nfour", 5: "  one\n\n two\tthree  \r\nfour"}
