@@ -10,11 +10,13 @@ from ..operators.joins import interval_gaps
 from ..operators.ranking import rank_within
 from ..operators.spatial import door_hits
 
+from ..plans import edge_lists, openings
 from ..plans import runs as R
 from ..plans.shape import set_areas
 from ..session import checkpointed, spread
 from ..sources import convert as V
-from .base import CTE, query
+from . import spatial_queries  # noqa: F401  (defines the shared walls that the edge list's SQL uses)
+from .base import CTE, SQL, query
 from .join_queries import cover_pieces
 from .tables import pick
 
@@ -109,14 +111,28 @@ def conv_rplan_doors(t):
     return d.select("plan_id", "idx", F.when(C("has"), F.coalesce("hit", lit(False))).alias("reachable"))
 
 
-@query("conv_swiss", """SELECT plan_id, count(*) FILTER (kind = 'area') AS n_rooms, count(*) FILTER (kind = 'opening') AS n_openings, count(*) FILTER (kind = 'separator') AS n_walls FROM (
-  SELECT plan_id, CASE WHEN type = 'other' THEN 'separator' ELSE 'area' END AS kind FROM rooms WHERE type NOT IN ('garage', 'outdoor') UNION ALL SELECT plan_id, 'opening' FROM doors UNION ALL SELECT plan_id, 'opening' FROM windows) GROUP BY plan_id""")
+CTE["swiss_rooms"] = """SELECT plan_id, idx AS k, type, string_agg(CAST(x AS BIGINT) || ' ' || CAST(-y AS BIGINT), ', ' ORDER BY p.k DESC) AS ring
+  FROM ring_points p JOIN rooms r USING (plan_id, idx) WHERE type NOT IN ('garage', 'outdoor') GROUP BY ALL"""
+
+
+@query("conv_swiss", """SELECT plan_id, CASE WHEN type = 'other' THEN 'wall' ELSE 'room' END AS kind, k, type, ring FROM swiss_rooms
+  UNION ALL SELECT plan_id, 'door', k, type, x0 || ' ' || -y1 || ', ' || x1 || ' ' || -y1 || ', ' || x1 || ' ' || -y0 || ', ' || x0 || ' ' || -y0 FROM doors
+  UNION ALL SELECT plan_id, 'window', room, 'window', x0 || ' ' || -y1 || ', ' || x1 || ' ' || -y1 || ', ' || x1 || ' ' || -y0 || ', ' || x0 || ' ' || -y0 FROM windows""")
 def conv_swiss(t):
-    """Entity rows (areas, openings, separators) grouped per apartment, unwanted subtypes dropped."""
-    a = t.rooms.filter(~C("type").isin("garage", "outdoor")).select("plan_id", F.when(C("type") == "other", "separator").otherwise("area").alias("kind"))
-    e = a.unionByName(t.doors.select("plan_id", lit("opening").alias("kind"))).unionByName(t.windows.select("plan_id", lit("opening").alias("kind")))
-    n = lambda k, name: F.count_if(C("kind") == k).alias(name)
-    return e.groupBy("plan_id").agg(n("area", "n_rooms"), n("opening", "n_openings"), n("separator", "n_walls"))
+    """Entity rows with their outlines: areas become rooms, separators walls, openings doors or windows; y is turned over, unwanted subtypes go."""
+    def corners(ring):
+        return F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p["x"].cast("long"), p["y"].cast("long"))), ", ")
+
+    def boxed(d, kind, k, name):
+        ys = (-C("y1"), -C("y0"))
+        pts = [(C("x0"), ys[0]), (C("x1"), ys[0]), (C("x1"), ys[1]), (C("x0"), ys[1])]
+        ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in pts])
+        return d.select("plan_id", lit(kind).alias("kind"), k.cast("long").alias("k"), name.alias("type"), corners(ring).alias("ring"))
+
+    a = t.rings.filter(~C("type").isin("garage", "outdoor"))
+    flipped = F.reverse(G.affine(C("ring"), 1, 0, 0, -1))
+    rows = a.select("plan_id", F.when(C("type") == "other", "wall").otherwise("room").alias("kind"), C("idx").alias("k"), "type", corners(flipped).alias("ring"))
+    return rows.unionByName(boxed(t.doors, "door", C("k"), C("type"))).unionByName(boxed(t.windows, "window", C("room"), lit("window")))
 
 
 @query("conv_t2d", "SELECT b.plan_id, b.label, b.x0, b.y0, b.x1, b.y1, p.dataset AS split FROM run_boxes b JOIN plans p ON b.plan_id = p.plan_id")
@@ -268,11 +284,32 @@ def gt_fallback(t):
     return d.select("plan_id", "idx", F.coalesce("ex", F.round(gx, 6)).alias("x0"), F.coalesce("ey", F.round(gy, 6)).alias("y0"), C("ex").isNotNull().alias("exact"))
 
 
-@query("edge_list_export", """SELECT plan_id, count(*) FILTER (kind = 'room') AS n_rooms, count(*) FILTER (kind = 'door') AS n_doors, CAST(sum(edges) AS BIGINT) AS n_edges FROM (
-  SELECT r.plan_id, 'room' AS kind, 4 AS edges FROM rooms r UNION ALL SELECT plan_id, 'door', 4 FROM doors) GROUP BY plan_id""")
+CTE["list_lines"] = """SELECT plan_id, idx, k, x0 = x1 AS v, CASE WHEN x0 = x1 THEN x0 ELSE y0 END AS line, CASE WHEN x0 = x1 THEN least(y0, y1) ELSE least(x0, x1) END AS lo,
+    CASE WHEN x0 = x1 THEN greatest(y0, y1) ELSE greatest(x0, x1) END AS hi FROM ring_edges"""
+CTE["list_segments"] = """SELECT plan_id, idx, k, v, line, a, b FROM (SELECT *, lead(a) OVER (PARTITION BY plan_id, idx, k ORDER BY a) AS b FROM (
+    SELECT plan_id, idx, k, v, line, lo AS a FROM list_lines UNION SELECT plan_id, idx, k, v, line, hi FROM list_lines UNION
+    SELECT e.plan_id, e.idx, e.k, v, line, CASE WHEN v THEN c.y0 ELSE c.x0 END FROM list_lines e JOIN ring_edges c ON e.plan_id = c.plan_id AND c.idx <> e.idx
+      AND (CASE WHEN v THEN c.x0 ELSE c.y0 END) = line AND (CASE WHEN v THEN c.y0 ELSE c.x0 END) > lo AND (CASE WHEN v THEN c.y0 ELSE c.x0 END) < hi)) WHERE b IS NOT NULL"""
+CTE["list_other"] = """SELECT plan_id, idx, k, a, min(o) AS other FROM (SELECT s.plan_id, s.idx, s.k, s.a, s.b, l.idx AS o, sum(least(s.b, l.hi) - greatest(s.a, l.lo)) AS c FROM list_segments s
+    JOIN list_lines l ON s.plan_id = l.plan_id AND s.v = l.v AND s.line = l.line AND s.idx <> l.idx AND least(s.b, l.hi) > greatest(s.a, l.lo)
+    JOIN shared_best h ON h.plan_id = s.plan_id AND h.i = least(s.idx, l.idx) AND h.j = greatest(s.idx, l.idx) AND h.len >= 20 GROUP BY ALL) WHERE 2 * c > b - a GROUP BY ALL"""
+CTE["list_doors"] = """SELECT plan_id, n + row_number() OVER (PARTITION BY plan_id ORDER BY idx) - 1 AS node, type, x0, y0, x1, y1, first, second FROM (
+    SELECT plan_id, 'interior_door' AS type, idx, x0, y0, x1, y1, idx AS first, nb AS second FROM synth_list
+    UNION ALL SELECT d.plan_id, 'front_door', 1099511627776, d.x0::DOUBLE, d.y0::DOUBLE, d.x1::DOUBLE, d.y1::DOUBLE, f.seed, f.seed FROM doors d JOIN front_room f USING (plan_id) WHERE d.type = 'front_door')
+  JOIN (SELECT plan_id, count(*) AS n FROM rooms GROUP BY plan_id) USING (plan_id)"""
+CTE["synth_list"] = SQL["synth_doors"]
+
+
+@query("edge_list_export", """WITH e AS (SELECT s.plan_id, s.idx AS node, r.type, row_number() OVER (PARTITION BY s.plan_id, s.idx ORDER BY s.k, s.a) AS k, (CASE WHEN v THEN line ELSE s.a END)::DOUBLE AS x0,
+      (CASE WHEN v THEN s.a ELSE line END)::DOUBLE AS y0, (CASE WHEN v THEN line ELSE s.b END)::DOUBLE AS x1, (CASE WHEN v THEN s.b ELSE line END)::DOUBLE AS y1, o.other
+    FROM list_segments s JOIN rooms r USING (plan_id, idx) LEFT JOIN list_other o ON o.plan_id = s.plan_id AND o.idx = s.idx AND o.k = s.k AND o.a = s.a
+    UNION ALL SELECT plan_id, node, type, 1, x0, y0, x0, y1, CASE WHEN y1 - y0 > x1 - x0 THEN first END FROM list_doors
+    UNION ALL SELECT plan_id, node, type, 2, x0, y1, x1, y1, CASE WHEN y1 - y0 <= x1 - x0 THEN first END FROM list_doors
+    UNION ALL SELECT plan_id, node, type, 3, x1, y1, x1, y0, CASE WHEN y1 - y0 > x1 - x0 THEN second END FROM list_doors
+    UNION ALL SELECT plan_id, node, type, 4, x1, y0, x0, y0, CASE WHEN y1 - y0 <= x1 - x0 THEN second END FROM list_doors)
+  SELECT e.plan_id, node, e.type, CAST(k AS INTEGER) AS k, e.x0, e.y0, e.x1, e.y1, other, r.type AS other_type FROM e LEFT JOIN rooms r ON r.plan_id = e.plan_id AND r.idx = e.other""")
 def edge_list_export(t):
-    """Rooms and doors as nodes with their box edges, doors appended after the rooms."""
-    nodes = t.rooms.select("plan_id", lit("room").alias("kind"), *BOX).unionByName(t.doors.select("plan_id", lit("door").alias("kind"), *BOX))
-    e = nodes.select("plan_id", "kind", F.explode(F.array(*[F.struct(C(a).alias("x0"), C(b).alias("y0"), C(c).alias("x1"), C(d).alias("y1")) for a, b, c, d in (
-        ("x0", "y0", "x0", "y1"), ("x0", "y1", "x1", "y1"), ("x1", "y1", "x1", "y0"), ("x1", "y0", "x0", "y0"))])).alias("e"))
-    return e.groupBy("plan_id").agg((F.count_if(C("kind") == "room") / 4).cast("long").alias("n_rooms"), (F.count_if(C("kind") == "door") / 4).cast("long").alias("n_doors"), F.count(lit(1)).alias("n_edges"))
+    """All edges of rooms and doors with the nodes on both sides; doors are nodes behind the rooms."""
+    hit = door_hits(t.doors.filter("type = 'front_door'"), t.rooms, 30, t.large).groupBy("plan_id").agg(F.max_by("idx", F.struct("area", "idx")).alias("room"))
+    front = t.doors.filter("type = 'front_door'").join(hit, "plan_id")
+    return edge_lists.edge_list(t.rooms, t.ring_edges, checkpointed(openings.shared_boundary(t.ring_edges)), front)
