@@ -7,6 +7,7 @@ from ..functions import geometry as G
 from ..operators import overlay as V
 from ..operators import spatial as S
 from ..plans import outlines as P
+from ..plans import walls
 from ..session import checkpointed
 from .base import CTE, query
 
@@ -137,3 +138,40 @@ def repair_parts(t):
     d = V.part_areas(checkpointed(V.even_odd_cells(t.rooms.select(*keys, drawn.alias("ring")), keys)), keys)
     w = W.partitionBy(*keys).orderBy(F.desc("area"), "part")
     return d.select(*keys, F.row_number().over(w).alias("part"), F.round("area", 3).alias("area_cm2"))
+
+
+# ---- shared walls and corner cuts at any angle ----
+
+CTE["nook_points"] = """SELECT plan_id, idx, k, x::BIGINT AS x, y::BIGINT AS y FROM ring_points UNION ALL
+  SELECT plan_id, idx + 1000, unnest([0, 1, 2]), unnest([x1, x1, x1 - (x1 - x0) // 2]), unnest([y1 - (y1 - y0) // 3, y1, y1]) FROM rooms WHERE pk % 3 = 2"""
+CTE["nook_edges"] = """SELECT plan_id, idx, k, x AS x0, y AS y0, coalesce(lead(x) OVER r, first_value(x) OVER r) AS x1, coalesce(lead(y) OVER r, first_value(y) OVER r) AS y1
+  FROM nook_points WINDOW r AS (PARTITION BY plan_id, idx ORDER BY k)"""
+CTE["nook_lines"] = """SELECT *, dx // g AS p, dy // g AS q, (dx * ay - dy * ax) // g AS c FROM (SELECT *, bx - ax AS dx, by_ - ay AS dy, gcd(bx - ax, by_ - ay) AS g FROM (
+    SELECT plan_id, idx, CASE WHEN s THEN x1 ELSE x0 END AS ax, CASE WHEN s THEN y1 ELSE y0 END AS ay, CASE WHEN s THEN x0 ELSE x1 END AS bx, CASE WHEN s THEN y0 ELSE y1 END AS by_
+    FROM (SELECT *, x1 < x0 OR (x1 = x0 AND y1 < y0) AS s FROM nook_edges)))"""
+
+
+def nooks(t):
+    """Rings and, for rooms with a cut corner, the triangle behind it as a room of its own: a slanted wall that two rooms share."""
+    xm, ym = C("x1") - F.floor((C("x1") - C("x0")) / 2), C("y1") - F.floor((C("y1") - C("y0")) / 3)
+    pts = [(C("x1"), ym), (C("x1"), C("y1")), (xm, C("y1"))]
+    tri = F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in pts])
+    return t.rings.select("plan_id", "idx", "ring").unionByName(t.rooms.filter("pk % 3 = 2").select("plan_id", (C("idx") + 1000).alias("idx"), tri.alias("ring")))
+
+
+@query("shared_walls_rings", """SELECT plan_id, i, j, len, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, i, j ORDER BY len DESC, x0, y0, x1, y1) AS rn FROM (
+    SELECT a.plan_id, a.idx AS i, b.idx AS j, (CASE WHEN a.p = 0 THEN a.ax ELSE greatest(a.ax, b.ax) END)::DOUBLE AS x0, (CASE WHEN (a.ax, a.ay) > (b.ax, b.ay) THEN a.ay ELSE b.ay END)::DOUBLE AS y0,
+      (CASE WHEN a.p = 0 THEN a.ax ELSE least(a.bx, b.bx) END)::DOUBLE AS x1, (CASE WHEN (a.bx, a.by_) < (b.bx, b.by_) THEN a.by_ ELSE b.by_ END)::DOUBLE AS y1,
+      round(CASE WHEN a.p = 0 THEN least(a.by_, b.by_) - greatest(a.ay, b.ay) ELSE (least(a.bx, b.bx) - greatest(a.ax, b.ax)) * sqrt(1 + (a.q::DOUBLE / a.p) ** 2) END, 6) AS len
+    FROM nook_lines a JOIN nook_lines b ON a.plan_id = b.plan_id AND a.p = b.p AND a.q = b.q AND a.c = b.c AND a.idx < b.idx) WHERE len > 0) WHERE rn = 1""")
+def shared_walls_rings(t):
+    return walls.shared_walls(walls.numbered_edges(nooks(t)))
+
+
+@query("split_segments_rings", """SELECT plan_id, idx, k, CAST(row_number() OVER w AS INTEGER) AS part, x::DOUBLE AS x0, y::DOUBLE AS y0, nx::DOUBLE AS x1, ny::DOUBLE AS y1
+  FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM (SELECT plan_id, idx, k, x0 AS x, y0 AS y, 0 AS d FROM nook_edges UNION SELECT plan_id, idx, k, x1, y1, (x1 - x0) ** 2 + (y1 - y0) ** 2 FROM nook_edges UNION
+      SELECT e.plan_id, e.idx, e.k, c.x, c.y, (c.x - e.x0) ** 2 + (c.y - e.y0) ** 2 FROM nook_edges e JOIN nook_points c ON e.plan_id = c.plan_id AND c.idx <> e.idx
+        AND (c.x - e.x0) * (e.y1 - e.y0) = (c.y - e.y0) * (e.x1 - e.x0) AND (c.x - e.x0) * (e.x1 - e.x0) + (c.y - e.y0) * (e.y1 - e.y0) > 0
+        AND (c.x - e.x1) * (e.x0 - e.x1) + (c.y - e.y1) * (e.y0 - e.y1) > 0) WINDOW w AS (PARTITION BY plan_id, idx, k ORDER BY d)) WHERE nx IS NOT NULL WINDOW w AS (PARTITION BY plan_id, idx, k ORDER BY d)""")
+def split_segments_rings(t):
+    return walls.cut_at_corners(walls.numbered_edges(nooks(t)))
