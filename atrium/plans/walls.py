@@ -27,7 +27,6 @@ def _on_lines(edges: DataFrame) -> DataFrame:
             (("ax", C("x0"), C("x1")), ("ay", C("y0"), C("y1")), ("bx", C("x1"), C("x0")), ("by", C("y1"), C("y0")))]
     d = edges.select("plan_id", "idx", *ends).withColumn("angle", F.atan2(C("by") - C("ay"), C("bx") - C("ax")))
     off = (C("ay") + C("by")) / 2 * F.cos("angle") - (C("ax") + C("bx")) / 2 * F.sin("angle")
-    # a line just below vertical is next to one just above, seen from the other side
     return d.withColumn("off", off).withColumn("turn", F.floor(C("angle") / (2 * ANGLE))).withColumn("row", F.floor(C("off") / (2 * APART)))
 
 
@@ -37,9 +36,13 @@ def shared_walls(edges: DataFrame) -> DataFrame:
     An edge looks in its own and the neighbouring cells of its line; each pair of edges meets in one of them, and is then measured."""
     e = _on_lines(edges)
     near = F.array(*[F.struct((C("turn") + a).alias("turn"), (C("row") + b).alias("row")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    flip = F.array(*[F.struct(t, (-C("row") - 1 + b).cast("long").alias("row")) for b in (-1, 0, 1) for t in (F.floor(lit(-math.pi / 2 / (2 * ANGLE))).alias("turn"),)])
-    steep = C("angle") > math.pi / 2 - 2 * ANGLE
-    cells = F.array_distinct(F.when(steep, F.concat(near, flip)).otherwise(near))
+    # lines just off upright have neighbours on the other side of it, where angle and distance change their sign
+    top, low = (math.floor(side * math.pi / 2 / (2 * ANGLE)) for side in (1, -1))
+
+    def over(turn: int) -> Column:
+        return F.array(*[F.struct(lit(turn + a).cast("long").alias("turn"), (b - 1 - C("row")).alias("row")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+
+    cells = F.array_distinct(F.when(C("turn") >= top - 1, F.concat(near, over(low))).when(C("turn") <= low + 1, F.concat(near, over(top))).otherwise(near))
     q = e.select("plan_id", C("idx").alias("j"), *[C(c).alias(f"q{c}") for c in ("ax", "ay", "bx", "by", "angle")], F.inline(cells))
     d = e.withColumnRenamed("idx", "i").join(q, ["plan_id", "turn", "row"]).filter(C("i") != C("j"))
     ux, uy = F.cos("angle"), F.sin("angle")
