@@ -157,6 +157,11 @@ class Tables:
             _LARGE[key] = large_groups(self.raw("orders").select(F.col("o_custkey").alias("owner")), ["owner"])
         return _LARGE[key]
 
+    @property
+    def large_homes(self) -> DataFrame | None:
+        """The same under the name that plans have for their owner."""
+        return None if self.large_owners is None else self.large_owners.withColumnRenamed("owner", "home")
+
     @cached_property
     def adj(self) -> DataFrame:
         return self.kept("adj", lambda: spatial.wall_adjacency(self.rooms, large=self.large).select("plan_id", "i", "j"))
