@@ -41,11 +41,11 @@ class Tables:
 
     @cached_property
     def version(self) -> tuple:
-        """The application and the files that the plan tables come from: what is kept holds for just these."""
+        """The application and the files that the plan tables come from: what is kept holds for just these. The files are listed, none is read."""
         files = []
         for name in ("lineitem", "orders"):
-            f = self.raw(name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-            files += sorted(tuple(map(str, r)) for r in f.collect())
+            listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.path}/{name}.parquet")
+            files += sorted(tuple(map(str, r)) for r in listed.select("path", "length", "modificationTime").collect())
         return (self.spark.sparkContext.applicationId, session.GROUP_LIMIT, *files)
 
     def kept(self, name: str, build) -> DataFrame:
