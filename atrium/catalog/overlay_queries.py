@@ -9,7 +9,9 @@ from ..operators import spatial as S
 from ..plans import outlines as P
 from ..plans import walls
 from ..session import checkpointed
-from .base import CTE, query
+from .base import CTE, SQL, query
+from .distribution_queries import shapes
+from .spatial_queries import rectilinear, turned
 
 C, lit = F.col, F.lit
 
@@ -175,3 +177,32 @@ def shared_walls_rings(t):
         AND (c.x - e.x1) * (e.x0 - e.x1) + (c.y - e.y1) * (e.y0 - e.y1) > 0) WINDOW w AS (PARTITION BY plan_id, idx, k ORDER BY d)) WHERE nx IS NOT NULL WINDOW w AS (PARTITION BY plan_id, idx, k ORDER BY d)""")
 def split_segments_rings(t):
     return walls.cut_at_corners(walls.numbered_edges(nooks(t)))
+
+
+# ---- plan metrics from outlines ----
+
+CTE["rect_rooms"] = SQL["rectilinear_fraction"]
+CTE["convex_rooms"] = SQL["convexity"]
+CTE["shape_rooms"] = """SELECT r.plan_id, count(*) AS n, avg(rectilinear) AS rectilinear, avg((rectilinear < 0.98)::INT) AS slanted, avg(round(convexity, 6)) AS convexity, avg(corners) AS corners
+  FROM rect_rooms r JOIN convex_rooms USING (plan_id, idx) JOIN (SELECT plan_id, idx, count(*) AS corners FROM ring_points GROUP BY ALL) USING (plan_id, idx) GROUP BY r.plan_id"""
+
+
+@query("plan_shape_rings", """SELECT p.plan_id, coalesce(s.n, 0) AS n_rooms_declared, coalesce(s.n, 0) AS n_rooms, CASE WHEN s.n > 0 THEN 0.0::DOUBLE END AS frac_invalid_polygons, round((u.s - u.u) / u.u, 8) AS overlap_ratio,
+    round(s.rectilinear, 9) AS mean_rectilinear, round(slanted, 9) AS frac_nonrectilinear_rooms, round(convexity, 9) AS mean_convexity, round(corners, 9) AS mean_corners,
+    CASE WHEN scale_known THEN round(u.u / 10000, 6) END AS total_area_m2
+  FROM plans p LEFT JOIN shape_rooms s ON p.plan_id = s.plan_id LEFT JOIN (SELECT plan_id, sum(area) FILTER (n_a > 0) AS u, sum(area * n_a) AS s FROM plan_cells GROUP BY plan_id) u ON p.plan_id = u.plan_id""")
+def plan_shape_rings(t):
+    """Shape columns of the plan metrics from outlines with notches and slants."""
+    straight = rectilinear(turned(t), 25.0).withColumn("rectilinear", F.round("rectilinear", 6))
+    d = P.plan_shape(t.plans, t.rooms, shapes(t).withColumn("convexity", F.round(F.round("convexity", 9), 6)), straight, P.overlap_ratio(t.rings))
+    digits = {"overlap_ratio": 8, "mean_rectilinear": 9, "frac_nonrectilinear_rooms": 9, "mean_convexity": 9, "mean_corners": 9, "total_area_m2": 6, "frac_invalid_polygons": 9}
+    return d.withColumns({c: F.round(c, k) for c, k in digits.items()})
+
+
+@query("isolated_rooms", """SELECT r.plan_id, count(*) AS n_rooms, round(avg((a.idx IS NULL)::INT), 9) AS frac_isolated_rooms FROM rooms r
+  LEFT JOIN (SELECT plan_id, i AS idx FROM adj UNION SELECT plan_id, j FROM adj) a ON r.plan_id = a.plan_id AND r.idx = a.idx GROUP BY r.plan_id""")
+def isolated_rooms(t):
+    """Share of a plan's rooms that share a wall with no other room."""
+    ends = t.adj.select("plan_id", F.explode(F.array("i", "j")).alias("idx")).distinct().withColumn("linked", lit(True))
+    d = t.rooms.select("plan_id", "idx").join(ends, ["plan_id", "idx"], "left").groupBy("plan_id")
+    return d.agg(F.count(lit(1)).alias("n_rooms"), F.round(F.avg(C("linked").isNull().cast("double")), 9).alias("frac_isolated_rooms"))
