@@ -13,6 +13,7 @@ from ..plans import stats as T
 from ..plans.norms import example_rules, failed_rules, norm_results, norm_summary
 from ..plans.rules import room_attributes
 from ..session import checkpointed
+from ..sources.outputs import accounting, parse_outputs
 from ..vocab import COUNTED_ROOMS, HABITABLE, NOT_DWELLING, ROOM_TYPES, STAT_TYPES
 from .base import CTE, query
 
@@ -335,10 +336,10 @@ def within_p5_p95(t):
     return g.groupBy("type").agg(F.round(F.avg(C("area_cm2").between(C("p5"), C("p95")).cast("int")), 9).alias("share"), F.count(lit(1)).alias("n"))
 
 
-@query("parse_accounting", """SELECT event_type, count(*) AS requested, count(*) FILTER (length(text) > 0) AS generated, count(*) FILTER (json_valid(text)) AS parsed,
+@query("event_accounting", """SELECT event_type, count(*) AS requested, count(*) FILTER (length(text) > 0) AS generated, count(*) FILTER (json_valid(text)) AS parsed,
   count(*) FILTER (json_valid(text) AND CAST(json_extract(CASE WHEN json_valid(text) THEN text END, '$.k') AS BIGINT) >= 10) AS valid, count(*) FILTER (NOT text LIKE '%}%') AS truncated,
   count(*) FILTER (json_valid(text) AND CAST(json_extract(CASE WHEN json_valid(text) THEN text END, '$.k') AS BIGINT) % 10 = user_id % 10) AS id_match FROM raw_text GROUP BY event_type""")
-def parse_accounting(t):
+def event_accounting(t):
     j = strict_json(C("text"))
     d = t.raw_text.withColumn("ok", j.isNotNull()).withColumn("k", F.try_variant_get(j, "$.k", "bigint"))
     return d.groupBy("event_type").agg(
@@ -347,6 +348,19 @@ def parse_accounting(t):
         F.count_if(C("k") % 10 == C("user_id") % 10).alias("id_match"))
 
 
+@query("parse_accounting", """WITH s AS (SELECT plan_id, idx, pk, turned, status, count(*) FILTER (status <> 'unparseable') AS n_out, count(*) FILTER (bad AND status <> 'unparseable') AS n_bad,
+    coalesce(list(label ORDER BY label) FILTER (NOT bad AND status <> 'unparseable'), []) AS types,
+    coalesce(list(w ORDER BY w) FILTER (NOT (pk % 5 = 0 AND j = pk % 3)), []) AS wanted FROM (SELECT *, CASE WHEN pk % 10 = 3 AND j = 0 THEN 'WC' ELSE label END AS w FROM answers) GROUP BY plan_id, idx, pk, turned, status)
+  SELECT CASE WHEN turned THEN 'rows' ELSE 'columns' END AS dataset, count(*) AS requested, count(*) FILTER (pk % 13 <> 0) AS generated, count(*) FILTER (status = 'json') AS n_json,
+    count(*) FILTER (status = 'json_prefix') AS n_json_prefix, count(*) FILTER (status = 'repaired') AS n_repaired, count(*) FILTER (status = 'unparseable') AS n_unparseable,
+    count(*) FILTER (len(types) > 0) AS valid, count(*) FILTER (len(types) > 0 AND n_bad = 0) AS valid_all, count(*) FILTER (pk % 7 = 0 AND pk % 31 <> 0) AS truncated,
+    count(*) FILTER (len(types) > 0 AND len(types) = len(wanted)) AS count_match, count(*) FILTER (len(types) > 0 AND types = wanted) AS type_match,
+    CAST(sum(n_out) AS BIGINT) AS n_output, CAST(sum(n_bad) AS BIGINT) AS n_dropped FROM s GROUP BY turned""")
+def parse_accounting(t):
+    """Answers by dataset: read or not, valid, cut short, and agreeing with the wanted rooms."""
+    return accounting(parse_outputs(t.outputs, C("dataset") == "rows"), ["dataset"])
+
+
 @query("split_counts", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n.n IS NULL THEN 'empty' WHEN n.n > 8 THEN 'too_many_rooms' WHEN NOT p.scale_known THEN 'no_scale' ELSE 'converted' END AS reason
   FROM plans p LEFT JOIN plan_n n ON p.plan_id = n.plan_id) GROUP BY reason""")
 def split_counts(t):

@@ -15,10 +15,11 @@ from ..plans import runs as R
 from ..plans.shape import set_areas
 from ..session import checkpointed, spread
 from ..sources import convert as V
+from ..sources.outputs import output_rooms, parse_outputs
 from . import spatial_queries  # noqa: F401  (defines the shared walls that the edge list's SQL uses)
-from .base import CTE, SQL, query
+from .base import CTE, SQL, _list, query
 from .join_queries import cover_pieces
-from .tables import pick
+from .tables import ANSWER_LABELS, pick
 
 C, lit = F.col, F.lit
 BOX = ("x0", "y0", "x1", "y1")
@@ -120,18 +121,15 @@ CTE["swiss_rooms"] = """SELECT plan_id, idx AS k, type, string_agg(CAST(x AS BIG
   UNION ALL SELECT plan_id, 'window', room, 'window', x0 || ' ' || -y1 || ', ' || x1 || ' ' || -y1 || ', ' || x1 || ' ' || -y0 || ', ' || x0 || ' ' || -y0 FROM windows""")
 def conv_swiss(t):
     """Entity rows with their outlines: areas become rooms, separators walls, openings doors or windows; y is turned over, unwanted subtypes go."""
-    def corners(ring):
-        return F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p["x"].cast("long"), p["y"].cast("long"))), ", ")
-
     def boxed(d, kind, k, name):
         ys = (-C("y1"), -C("y0"))
         pts = [(C("x0"), ys[0]), (C("x1"), ys[0]), (C("x1"), ys[1]), (C("x0"), ys[1])]
         ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in pts])
-        return d.select("plan_id", lit(kind).alias("kind"), k.cast("long").alias("k"), name.alias("type"), corners(ring).alias("ring"))
+        return d.select("plan_id", lit(kind).alias("kind"), k.cast("long").alias("k"), name.alias("type"), V.ring_text(ring).alias("ring"))
 
     a = t.rings.filter(~C("type").isin("garage", "outdoor"))
     flipped = F.reverse(G.affine(C("ring"), 1, 0, 0, -1))
-    rows = a.select("plan_id", F.when(C("type") == "other", "wall").otherwise("room").alias("kind"), C("idx").alias("k"), "type", corners(flipped).alias("ring"))
+    rows = a.select("plan_id", F.when(C("type") == "other", "wall").otherwise("room").alias("kind"), C("idx").alias("k"), "type", V.ring_text(flipped).alias("ring"))
     return rows.unionByName(boxed(t.doors, "door", C("k"), C("type"))).unionByName(boxed(t.windows, "window", C("room"), lit("window")))
 
 
@@ -188,13 +186,29 @@ def conv_label_map(t):
     return V.nearest_colour(px, PAL).select("plan_id", "idx", "label")
 
 
-@query("conv_llm_json", """SELECT status, count(*) AS n, CAST(sum(k) AS BIGINT) AS k_total FROM (SELECT CASE WHEN json_valid(text) THEN 'json' WHEN text LIKE '%} done' THEN 'json_prefix' WHEN regexp_matches(text, '\\{[^{}]*\\}') THEN 'repaired' ELSE 'unparseable' END AS status,
+@query("json_status_counts", """SELECT status, count(*) AS n, CAST(sum(k) AS BIGINT) AS k_total FROM (SELECT CASE WHEN json_valid(text) THEN 'json' WHEN text LIKE '%} done' THEN 'json_prefix' WHEN regexp_matches(text, '\\{[^{}]*\\}') THEN 'repaired' ELSE 'unparseable' END AS status,
   CAST(regexp_extract(text, '([0-9]+)\\}', 1) AS VARCHAR) AS ks, CASE WHEN regexp_matches(text, '\\}') THEN CAST(regexp_extract(text, '([0-9]+)\\}', 1) AS BIGINT) END AS k FROM raw_text) GROUP BY status""")
-def conv_llm_json(t):
+def json_status_counts(t):
     d = t.raw_text.withColumn("status", V.json_status(C("text")))
     return d.groupBy("status").agg(F.count(lit(1)).alias("n"), F.sum(F.try_variant_get(F.try_parse_json("text"), "$.k", "bigint")).alias("k_total"))
 
 
+CTE["answers"] = f"""SELECT plan_id, idx, pk, j, {_list(ANSWER_LABELS)}[(pk + j) % {len(ANSWER_LABELS)} + 1] AS label, x0 + 400 * j AS x0, y0, x1 + 400 * j AS x1, y1,
+    (pk + j) % 17 = 0 OR (pk + j) % 19 = 0 AS bad, pk % 4 = 0 AS turned, CASE WHEN pk % 13 = 0 OR pk % 29 = 0 THEN 'unparseable' WHEN pk % 7 = 0 THEN 'repaired'
+    WHEN pk % 11 = 0 THEN 'json_prefix' ELSE 'json' END AS status FROM (SELECT *, unnest(range(pk % 3 + 1)) AS j FROM rooms)"""
+
+
+@query("conv_llm_json", """SELECT plan_id, idx, status, CAST(row_number() OVER (PARTITION BY plan_id, idx ORDER BY j) - 1 AS INTEGER) AS k, j::VARCHAR AS id,
+  CASE label WHEN 'WC' THEN 'bathroom' WHEN 'Living-Room' THEN 'living_room' ELSE lower(label) END AS type, label AS type_native,
+  CASE WHEN turned THEN y0 || ' ' || x0 || ', ' || y0 || ' ' || x1 || ', ' || y1 || ' ' || x1 || ', ' || y1 || ' ' || x0
+       ELSE x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 END AS ring FROM answers WHERE NOT bad AND status <> 'unparseable'""")
+def conv_llm_json(t):
+    """Rooms with proper polygons of every answer, with what kind of text they were read from."""
+    p = parse_outputs(t.outputs, C("dataset") == "rows")
+    r = output_rooms(p, ["plan_id", "idx", "status"])
+    return r.select("plan_id", "idx", "status", "k", "id", "type", "type_native", V.ring_text(C("ring")).alias("ring"))
+
+
 @query("conv_state", """SELECT s.home, s.storey, count(*) AS n_rooms, CAST(sum((x1 - x0 - 24) * (y1 - y0 - 24)) AS BIGINT) AS net_cm2 FROM storeys s JOIN rooms r ON s.plan_id = r.plan_id GROUP BY ALL""")
 def conv_state(t):
     """Net rooms (room minus wall strips) per home and storey."""

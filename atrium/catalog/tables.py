@@ -29,6 +29,8 @@ def type_name(col) -> F.Column:
 def pick(values: list[str], pos) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), pos.cast("int") + 1)
 
+ANSWER_LABELS = ["Bedroom", "WC", "Kitchen", "Living-Room"]
+
 
 class Tables:
     """Lazy DataFrames over one data directory."""
@@ -235,6 +237,37 @@ class Tables:
             .when(F.col("event_id") % 11 == 0, F.concat(p, F.lit(" done")))
             .otherwise(p).alias("text"))
 
+    @cached_property
+    def outputs(self) -> DataFrame:
+        """A model's answer per room: a text of 1 + pk % 3 rooms in a row, some cut short, followed by words, without a plan or missing.
+
+        Faults of single rooms: a corner that is no number (every 17th), two corners (every 19th), a number as text (every 23rd).
+        """
+        pk = F.col("pk")
+
+        def answer(j):
+            label, n = pick(ANSWER_LABELS, (pk + j) % len(ANSWER_LABELS)), pk + j
+            ends = [(F.col(x) + 400 * j, F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]
+
+            def corner(k):
+                x = ends[k][0].cast("string")
+                if k == 1:
+                    x = F.when(n % 17 == 0, '"wide"').when(n % 23 == 0, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)
+                return F.concat(F.lit('{"x": '), x, F.lit(', "z": '), ends[k][1], F.lit("}"))
+
+            first, rest = F.concat_ws(", ", corner(0), corner(1)), F.concat_ws(", ", corner(2), corner(3))
+            corners = F.when(n % 19 == 0, first).otherwise(F.concat_ws(", ", first, rest))
+            return F.concat(F.lit('{"id": '), j, F.lit(', "room_type": "'), label, F.lit('", "floor_polygon": ['), corners, F.lit("]}"))
+
+        places = F.sequence(F.lit(0), (pk % 3).cast("int"))
+        head = F.concat(F.when(pk % 2 == 0, "Output: ").otherwise("Here it is. "), F.lit('{"rooms": ['), F.array_join(F.transform(places, answer), ", "))
+        text = (F.when(pk % 13 == 0, F.lit(None)).when(pk % 29 == 0, "no plan").when(pk % 7 == 0, head)
+                .when(pk % 11 == 0, F.concat(head, F.lit("]} done"))).otherwise(F.concat(head, F.lit("]}"))))
+        wanted = F.transform(places, lambda j: F.when((pk % 10 == 3) & (j == 0), "WC").otherwise(pick(ANSWER_LABELS, (pk + j) % len(ANSWER_LABELS))))
+        wanted = F.when(pk % 5 == 0, F.slice(wanted, 1, (pk % 3).cast("int"))).otherwise(wanted)
+        return session.spread(self.rooms).select("plan_id", "idx", F.when(pk % 4 == 0, "rows").otherwise("columns").alias("dataset"), text.alias("text"), wanted.alias("wanted"),
+                                 F.when(pk % 31 != 0, pk % 7 != 0).alias("ended"))
+
     @cached_property
     def thresholds(self) -> DataFrame:
         from ..plans.rules import threshold_table

@@ -48,6 +48,11 @@ def local_to_world(ring: Column, dx: Column, dy: Column) -> Column:
     return affine(ring, 1, 0, 0, -1, dx, -dy)
 
 
+def ring_text(ring: Column) -> Column:
+    """Corners in whole units as text: ``x y, x y, ...``."""
+    return F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p["x"].cast("long"), p["y"].cast("long"))), ", ")
+
+
 def norm_edges(edges: DataFrame) -> DataFrame:
     """Edges with ordered ends, without self-edges and repeats."""
     return edges.filter(C("a") != C("b")).select("plan_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "kind").distinct()
