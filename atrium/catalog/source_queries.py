@@ -98,11 +98,12 @@ def sink_tables(t):
     return t.spark.read.schema("id string, idx long, type string, area_cm2 long").option("header", True).csv(path)
 
 
-@query("read_stage_csv", "SELECT lpad(plan_id::VARCHAR, 6, '0') AS id, count(*) AS n_edges FROM adj GROUP BY plan_id")
+@query("read_stage_csv", "SELECT lpad(plan_id::VARCHAR, greatest(6, length(plan_id::VARCHAR))::INTEGER, '0') AS id, count(*) AS n_edges FROM adj GROUP BY plan_id")
 def read_stage_csv(t):
-    """Ids are read as text, so leading zeros survive."""
+    """Ids are read as text, so leading zeros survive. They are filled up to six digits; longer ones stay whole."""
     path = new_path(t.spark, "per_edge")
-    t.adj.select(F.lpad(C("plan_id").cast("string"), 6, "0").alias("id"), "i", "j").write.option("header", True).csv(path)
+    text = C("plan_id").cast("string")
+    t.adj.select(F.lpad(text, F.greatest(F.lit(6), F.length(text)), "0").alias("id"), "i", "j").write.option("header", True).csv(path)
     d = t.spark.read.schema("id string, i long, j long").option("header", True).csv(path)
     return d.groupBy("id").agg(F.count(lit(1)).alias("n_edges"))
 
