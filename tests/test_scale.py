@@ -39,3 +39,10 @@ def test_long_ids_stay_whole(spark, shifted):
     rows = [tuple(r) for r in df.collect()]
     assert len({r[0] for r in rows}) == Tables(spark, shifted).adj.select("plan_id").distinct().count()
     assert norm(df.columns, rows) == norm([d[0] for d in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("key", ["conv_node_masks", "rasterize_rooms", "fill_wall_gaps", "layout_features"])
+def test_rows_of_images_are_not_shuffled(spark, key):
+    t = Tables(spark, DATA)
+    t.rooms  # built before
+    assert "Exchange" not in plan_text(entry.queries()[key](spark, DATA))
