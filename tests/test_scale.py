@@ -5,8 +5,10 @@ from conftest import DATA, NAMES, norm
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from atrium.catalog import spatial_queries
 from atrium.catalog.tables import Tables
 from atrium.operators import overlay as V
+from atrium.plans import outlines, shape
 
 
 def plan_text(df):
@@ -46,3 +48,25 @@ def test_rows_of_images_are_not_shuffled(spark, key):
     t = Tables(spark, DATA)
     t.rooms  # built before
     assert "Exchange" not in plan_text(entry.queries()[key](spark, DATA))
+
+
+IN_BUCKETS = ["split_segments_rings", "shared_walls_rings", "ring_shrink", "wall_adjacency_rings", "door_edges_rings", "hole_ratio", "outline_shape",
+              "plan_components", "boundary_cover"]
+
+
+@pytest.mark.parametrize("key", IN_BUCKETS)
+def test_steps_within_plans_stay_in_their_buckets(spark, monkeypatch, key):
+    def shuffles(*a, **k):
+        raise AssertionError("rows leave their buckets")
+
+    t = Tables(spark, DATA)
+    t.rooms, t.door_edges  # built before
+    for module in (V, outlines, shape, spatial_queries):
+        for name in ("in_buckets", "checkpointed"):
+            monkeypatch.setattr(module, name, shuffles, raising=False)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan_text(entry.queries()[key](spark, DATA))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
