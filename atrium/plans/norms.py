@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stacked
 from ..vocab import BINDING, NOT_DWELLING
 from .rules import norm_rule_table, room_attributes
 
@@ -25,16 +26,16 @@ def plan_facts(rooms: DataFrame, doors: DataFrame) -> DataFrame:
                      C("clear_width").alias("value"))
     dwelling = r.groupBy("plan_id").agg((F.coalesce(F.sum(F.when(~C("type").isin(NOT_DWELLING), C("area_cm2"))), lit(0)) / 10000).alias("value"))
     dwelling = dwelling.select("plan_id", lit("dwelling").alias("subject"), lit(0).cast("long").alias("item"), lit("area_m2").alias("parameter"), "value")
-    return per_room.unionByName(d).unionByName(dwelling)
+    return stacked(per_room, d, dwelling)
 
 
 def check_norms(plans: DataFrame, facts: DataFrame, rules: DataFrame) -> DataFrame:
     """met / not met / not measured per (plan, rule). Facts fold map-side to one flag before meeting the plan grid."""
     ok = F.when(C("op") == ">=", C("value") >= C("threshold")).when(C("op") == "<=", C("value") <= C("threshold")) \
         .when(C("op") == ">", C("value") > C("threshold")).when(C("op") == "<", C("value") < C("threshold"))
-    m = facts.join(rules, ["subject", "parameter"]).groupBy("plan_id", "rule").agg(F.min(ok).alias("ok"))
-    grid = plans.select("plan_id").crossJoin(rules.select("rule", "parameter", "bindingness"))
-    d = grid.join(m, ["plan_id", "rule"], "left")
+    m = facts.join(F.broadcast(rules), ["subject", "parameter"]).groupBy("plan_id", "rule").agg(F.min(ok).alias("ok"))
+    grid = plans.select("plan_id").crossJoin(F.broadcast(rules.select("rule", "parameter", "bindingness")))
+    d = grid.join(m.hint("merge"), ["plan_id", "rule"], "left")
     return d.select("plan_id", "rule", "parameter", "bindingness",
                     F.when(C("ok").isNull(), "not measured").when(C("ok"), "met").otherwise("not met").alias("result"))
 
@@ -54,7 +55,7 @@ def per_plan(results: DataFrame) -> DataFrame:
 def norm_results(t) -> DataFrame:
     """Per-plan results of the example rules over the plans with a metric scale."""
     doors = t.doors.select("plan_id", "k", (F.greatest(C("x1") - C("x0"), C("y1") - C("y0")) / 100 - C("plan_id") % 4 * lit(0.05)).alias("clear_width"))
-    known = t.plans.filter("scale_known")
+    known = t.dealt_plans.filter("scale_known")
     return per_plan(check_norms(known, plan_facts(t.rooms, doors), example_rules(t.spark)))
 
 

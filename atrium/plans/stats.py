@@ -15,7 +15,7 @@ C, lit = F.col, F.lit
 def stat_rooms(plans: DataFrame, rooms: DataFrame) -> DataFrame:
     """Rooms with attributes, dataset, grouped type, and the canonical type kept for thresholds."""
     r = room_attributes(rooms).withColumn("type_canonical", C("type")).withColumn("type", type_group(C("type")))
-    return r.join(plans.select("plan_id", "dataset"), "plan_id")
+    return r.join(plans.select("plan_id", "dataset").hint("merge"), "plan_id")
 
 
 def composition(plans: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def area_percentiles(rooms: DataFrame, by=("dataset", "type")) -> DataFrame:
 def violations(rooms: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Share of rooms per type below area or width, or above aspect; unconstrained types leave the denominator."""
     t = thresholds.withColumnRenamed("type", "type_canonical")
-    r = rooms.join(t, "type_canonical")
+    r = rooms.join(F.broadcast(t), "type_canonical")
     return r.groupBy("dataset", "type").agg(
         F.count(lit(1)).alias("n_rooms"),
         F.avg((C("area_cm2") < C("min_area") * 10000).cast("double")).alias("below_min_area"),
@@ -51,8 +51,8 @@ def typed_edges(edges: DataFrame, rooms: DataFrame) -> DataFrame:
     """Distinct (plan, i, j, kind) with dataset and the types of both ends."""
     t = rooms.select("plan_id", "idx", "type", "dataset")
     e = edges.select("plan_id", "i", "j", "kind").distinct()
-    return e.join(t.select("plan_id", C("idx").alias("i"), C("type").alias("ta"), "dataset"), ["plan_id", "i"]) \
-        .join(t.select("plan_id", C("idx").alias("j"), C("type").alias("tb")), ["plan_id", "j"])
+    return e.join(t.select("plan_id", C("idx").alias("i"), C("type").alias("ta"), "dataset").hint("merge"), ["plan_id", "i"]) \
+        .join(t.select("plan_id", C("idx").alias("j"), C("type").alias("tb")).hint("merge"), ["plan_id", "j"])
 
 
 def neighbour_types(te: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def p_plan(te: DataFrame, rooms: DataFrame) -> DataFrame:
     # At most 15 types per plan, so pairs of present types stay bounded whatever the number of rooms.
     c = rooms.groupBy("dataset", "plan_id", "type").agg(F.count(lit(1)).alias("c"))
     b = c.select("plan_id", C("type").alias("type_b"))
-    both = c.withColumnRenamed("type", "type_a").join(b, "plan_id").filter(
+    both = c.withColumnRenamed("type", "type_a").join(b.hint("merge"), "plan_id").filter(
         (C("type_a") < C("type_b")) | ((C("type_a") == C("type_b")) & (C("c") >= 2)))
     both = both.groupBy("dataset", "type_a", "type_b").agg(F.count(lit(1)).alias("n_plans_both"))
     kinds = te.select("kind").distinct()
