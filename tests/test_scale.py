@@ -70,3 +70,15 @@ def test_steps_within_plans_stay_in_their_buckets(spark, monkeypatch, key):
         assert "Exchange" not in plan_text(entry.queries()[key](spark, DATA))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("key", ["check_norms", "edge_list_export"])
+def test_rule_tables_shuffle_no_facts(spark, key):
+    t = Tables(spark, DATA)
+    t.rooms, t.door_edges, t.dealt_plans  # built before
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange hashpartitioning" not in plan_text(entry.queries()[key](spark, DATA))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
