@@ -14,7 +14,7 @@ SQL = entry.oracle_sql()["buffer_closing"]
 def test_sql_leaves_no_tie_to_chance(spark):
     """Rooms 0, 3 and 6 lie above each other between the same x, so their intervals in a slab are equal."""
     con = duckdb.connect()
-    con.execute("CREATE TABLE lineitem AS SELECT 1::BIGINT AS l_orderkey, 4::BIGINT AS l_partkey, 0::BIGINT AS l_suppkey, i::INTEGER AS l_linenumber, "
+    con.execute("CREATE TABLE lineitem AS SELECT 1::BIGINT AS l_orderkey, 16::BIGINT AS l_partkey, 0::BIGINT AS l_suppkey, i::INTEGER AS l_linenumber, "
                 "10.0::DOUBLE AS l_quantity, 0.0::DOUBLE AS l_extendedprice, TIMESTAMP '2020-01-01' AS l_shipdate FROM range(9) r(i)")
     other = SQL
     for u in ("x0, x1", "y0, y1"):
