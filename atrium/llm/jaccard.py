@@ -31,6 +31,7 @@ from .common import documents, saved
 
 SHINGLE = 5
 BUCKET_SHINGLES = 2_000_000   # shingles that meet in one task
+SLICE_SHINGLES = 250_000      # first shingles that such a task compares at once
 BLOCK_SHINGLES = 200_000      # shingles of one block of a family
 BROADCAST_ROWS = 300_000      # tables of up to so many rows of at most 64 bytes may be broadcast; others are shuffled
 SHARED = np.uint16(0xFFFF)
@@ -99,6 +100,29 @@ def shingle_sets(df: DataFrame, size: int = SHINGLE) -> DataFrame:
     return _texts(df).mapInArrow(measure, "doc_id long, n_shingles long, set_id long")
 
 
+def _met(tokens: np.ndarray, owners: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A set id per token that the set shares with any other; owner -1: sets of some other block, already counted there."""
+    order = np.argsort(tokens)
+    tokens, owners = tokens[order], owners[order]
+    same = np.zeros(len(tokens) + 1, bool)
+    same[1:-1] = tokens[1:] == tokens[:-1]
+    many = same[1:] | same[:-1]
+    tokens, owners = tokens[many], owners[many]
+    group = np.cumsum(np.r_[True, tokens[1:] != tokens[:-1]]) - 1 if len(tokens) else np.zeros(0, np.int64)
+    lone = owners < 0
+    groups = int(group[-1]) + 1 if len(group) else 0
+    open_to_all = np.bincount(group[lone], minlength=groups) > 0
+    who = np.where(lone, 0, ids[owners])
+    low, high = np.full(groups, np.iinfo(np.int64).max), np.full(groups, np.iinfo(np.int64).min)
+    np.minimum.at(low, group[~lone], who[~lone])
+    np.maximum.at(high, group[~lone], who[~lone])
+    hit = ~lone & (open_to_all | (low < high))[group]
+    group, who = group[hit], who[hit]
+    order = np.lexsort((who, group))
+    group, who = group[order], who[order]
+    return who[np.r_[True, (group[1:] != group[:-1]) | (who[1:] != who[:-1])][:len(who)]]
+
+
 def plausible(df: DataFrame, buckets: int, size: int = SHINGLE) -> DataFrame:
     """Common first shingles (set_id, hits) of sets: an upper bound of those that it shares with any one set.
 
@@ -140,37 +164,24 @@ def plausible(df: DataFrame, buckets: int, size: int = SHINGLE) -> DataFrame:
                                                  names=["bucket", "ids", "hits", "tokens", "refs"])
 
     def meet(table: pa.Table) -> pa.Table:
-        ids, hits, tokens, owners = [], [], [], []
-        base = 0
-        for i, c, t, r in zip(*[table.column(n).to_pylist() for n in ("ids", "hits", "tokens", "refs")]):
-            i, r = np.frombuffer(i, np.uint64), np.frombuffer(r, np.uint16)
-            ids.append(i)
-            hits.append(np.frombuffer(c, np.uint32))
-            tokens.append(np.frombuffer(t, np.uint64))
-            owners.append(np.where(r == SHARED, -1, r.astype(np.int64) + base))
-            base += len(i)
-        ids, hits, tokens, owners = map(np.concatenate, (ids, hits, tokens, owners))
-        order = np.argsort(tokens)
-        tokens, owners = tokens[order], owners[order]
-        same = np.zeros(len(tokens) + 1, bool)
-        same[1:-1] = tokens[1:] == tokens[:-1]
-        many = same[1:] | same[:-1]
-        tokens, owners = tokens[many], owners[many]
-        group = np.cumsum(np.r_[True, tokens[1:] != tokens[:-1]]) - 1 if len(tokens) else np.zeros(0, np.int64)
-        lone = owners < 0
-        groups = int(group[-1]) + 1 if len(group) else 0
-        open_to_all = np.bincount(group[lone], minlength=groups) > 0
-        who = np.where(lone, 0, ids[owners].view(np.int64))
-        low, high = np.full(groups, np.iinfo(np.int64).max), np.full(groups, np.iinfo(np.int64).min)
-        np.minimum.at(low, group[~lone], who[~lone])
-        np.maximum.at(high, group[~lone], who[~lone])
-        hit = ~lone & (open_to_all | (low < high))[group]
-        group, who = group[hit], who[hit]
-        order = np.lexsort((who, group))
-        group, who = group[order], who[order]
-        once = np.r_[True, (group[1:] != group[:-1]) | (who[1:] != who[:-1])][:len(who)]
-        key, back = np.unique(np.concatenate([ids.view(np.int64), who[once]]), return_inverse=True)
-        total = np.bincount(back, np.concatenate([hits, np.ones(int(once.sum()))])).astype(np.int64)
+        # views of the batch; the tokens of a piece are in order, so a slice of the bucket's hashes is a stretch of each piece
+        ids, hits, tokens, refs = [[np.frombuffer(v.as_buffer(), kind) for v in table.column(c)] for c, kind in
+                                   (("ids", np.uint64), ("hits", np.uint32), ("tokens", np.uint64), ("refs", np.uint16))]
+        base = np.cumsum([0, *map(len, ids)]).tolist()
+        ids, hits = np.concatenate(ids).view(np.int64), np.concatenate(hits)
+        k, slices = table.column("bucket")[0].as_py(), max(1, -(-sum(map(len, tokens)) // SLICE_SHINGLES))
+        low, high = -(-(k << 32) // buckets), -(-(k + 1 << 32) // buckets)
+        edges = np.array([low + (high - low) * j // slices << 32 for j in range(1, slices)], np.uint64)
+        cuts = [[0, *np.searchsorted(t, edges).tolist(), len(t)] for t in tokens]
+        found, count = [ids], [hits]
+        for j in range(slices):
+            token = np.concatenate([t[c[j]:c[j + 1]] for t, c in zip(tokens, cuts)])
+            owner = np.concatenate([np.where((part := r[c[j]:c[j + 1]]) == SHARED, -1, part.astype(np.int64) + b) for r, c, b in zip(refs, cuts, base)])
+            who, n = np.unique(_met(token, owner, ids), return_counts=True)
+            found.append(who)
+            count.append(n)
+        key, back = np.unique(np.concatenate(found), return_inverse=True)
+        total = np.bincount(back, np.concatenate(count)).astype(np.int64)
         key, total = key[total > 0].view(np.uint64), total[total > 0]
         key, total = key[order := np.argsort(key)], total[order]
         part = (key >> np.uint64(32)) * np.uint64(sums) >> np.uint64(32)
