@@ -29,3 +29,46 @@ def test_edges_are_neither_joined_nor_written(spark, monkeypatch):
         text = entry.queries()[key](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in text and "Window" not in text
     assert "Join" not in entry.queries()["ring_shrink"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_closing_stays_in_its_buckets(spark, monkeypatch):
+    from atrium.plans import outlines
+
+    t = Tables(spark, DATA)
+    t.rooms  # built before
+    whole = {}
+
+    def shuffles(*a, **k):
+        raise AssertionError("rows leave their buckets")
+
+    monkeypatch.setattr(O, "checkpointed", shuffles)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key in ("closing_rings", "boundary_cover_rings"):
+            df = entry.queries()[key](spark, DATA)
+            whole[key] = sorted(map(tuple, df.collect()))
+            assert whole[key]
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # the path without buckets gives the same
+    monkeypatch.undo()
+    facts = outlines.closed_facts(t.rings.filter("plan_id < 400"), 30.0)
+    got = {r.plan_id: (round(r.closed_cm2, 3), round(r.hole_cm2, 3), r.n_components) for r in facts.collect()}
+    assert got == {r[0]: (r[1], r[2], r[4]) for r in whole["closing_rings"] if r[0] < 400}
+
+
+def test_links_join_all_parts():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (30, 20), (200, 150), (50, 400)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = np.arange(n)
+        while True:
+            low = want.copy()
+            np.minimum.at(low, a, want[b])
+            np.minimum.at(low, b, low[a])
+            if (low == want).all():
+                break
+            want = low
+        assert (K.linked(n, a, b) == want).all()
